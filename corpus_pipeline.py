@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality, toxicity
+from plumbline.llm import decontamination, minhash, packing, quality, toxicity
 from plumbline.llm.common import Scratch, table
+from plumbline.llm.queries import tokenizer
 
 QUALITY_LEAST, TOXICITY_MOST = 0.3, 0.5
 
@@ -23,9 +24,32 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, "_score").where(F.col("_score") < TOXICITY_MOST).drop("_score")
 
 
-STAGES = [("quality classifier", good), ("toxicity", civil)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id."""
+    # Most documents are kept, so the ids that go are the shorter list.
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
-#: Trained models, tokenizers and sequence packing can't be written in SQL.
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("toxicity", civil),
+    ("near duplicates", distinct),
+    ("benchmark decontamination", uncontaminated),
+    ("packing", packed),
+]
+
+#: Trained models, sampled hashes, tokenizers and greedy packing can't be written in SQL.
 ORACLE_SQL = None
 
 
