@@ -108,14 +108,17 @@ def needed(threshold: float = PERCENT / 100, miss: float = MISS) -> list[int]:
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two signature tables the sequential test keeps."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k, least in enumerate(needed()):
+NEEDED = needed()
+
+
+def likely(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x of a and y of b the sequential test keeps."""
+    alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for k, least in enumerate(NEEDED):
         part = slice(k * BATCH, (k + 1) * BATCH)
-        matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
-        alive = alive[matches[alive] >= least]
-    kept = np.zeros(len(a), bool)
+        matches = matches + (a[x[alive], part] == b[y[alive], part]).sum(axis=1)
+        alive, matches = alive[matches >= least], matches[matches >= least]
+    kept = np.zeros(len(x), bool)
     kept[alive] = True
     return kept
 
@@ -149,27 +152,57 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if len(rows):
-            yield rows.loc[likely(_signatures(rows.sig_a), _signatures(rows.sig_b)), ["a", "b"]]
-
-
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket: of different components, not met in an earlier band, not ruled out."""
-    sig = _signatures(rows.sig)
-    node, comp, side, band = rows.node.to_numpy(), rows.comp.to_numpy(), rows.side.to_numpy(), int(rows.band.iloc[0])
-    one = np.flatnonzero(side == rows.i.iloc[0])
-    two = np.flatnonzero(side == rows.j.iloc[0])
-    found = []
-    for x in one:
-        y = two[(node[two] != node[x]) & (comp[two] != comp[x])]
-        if rows.i.iloc[0] == rows.j.iloc[0]:
-            y = y[y > x]
-        if band and len(y):
-            equal = (sig[y, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
-            y = y[~equal]
-        if len(y):
-            y = y[likely(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
-            found.append(pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}))
-    return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            at = np.arange(len(rows))
+            yield rows.loc[likely(_signatures(rows.sig_a), _signatures(rows.sig_b), at, at), ["a", "b"]]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by block. Its pairs: of different components, met in no earlier band, not ruled out."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        if not len(rows):
+            continue
+        block = rows[["key", "i", "j"]].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1])
+        held = rows.iloc[starts[-1] :]
+        yield from _pairs(rows.iloc[: starts[-1]], starts)
+    if held is not None:
+        yield from _pairs(held.reset_index(drop=True), np.array([0, len(held)]))
+
+
+def _pairs(rows: pd.DataFrame, edges: np.ndarray, most: int = 1 << 15) -> Iterator[pd.DataFrame]:
+    if not len(rows):
+        return
+    sig, comp, node, band = _signatures(rows.sig), rows.comp.to_numpy(), rows.node.to_numpy(), rows.band.to_numpy()
+    own, crossed = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy()
+
+    def kept(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        different = comp[x] != comp[y]
+        x, y = x[different], y[different]
+        good = likely(sig, sig, x, y)
+        x, y = x[good], y[good]
+        met = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]
+        x, y = node[x[met]], node[y[met]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    xs, ys, n = [], [], 0
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if crossed[begin]:
+            one, two = begin + np.flatnonzero(own[begin:end]), begin + np.flatnonzero(~own[begin:end])
+            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
+        elif end - begin == 2:
+            x, y = [begin], [begin + 1]
+        else:
+            x, y = (begin + k for k in np.triu_indices(end - begin, 1))
+        xs.append(x)
+        ys.append(y)
+        n += len(x)
+        if n >= most:
+            yield kept(np.concatenate(xs), np.concatenate(ys))
+            xs, ys, n = [], [], 0
+    if n:
+        yield kept(np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64))
 
 
 def _text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +281,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def of(pairs: DataFrame) -> DataFrame:
         return pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
-    links = scratch.write(verify(of(first).mapInPandas(_pruned, "a long, b long"), texts), "links1")
+    survivors = scratch.write(of(first).mapInPandas(_pruned, "a long, b long"), "survivors1")
+    links = scratch.write(verify(survivors, texts), "links1")
     comps = scratch.write(components(links, scratch, "star"), "comps")
 
     placed = met.select("key", "band", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -257,14 +291,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rest = placed.join(mixed, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", "band", "node", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(sigs, "node")
-    second = rest.groupBy("key", "i", "j").applyInPandas(_block, "a long, b long").distinct()
+    second = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_blocks, "a long, b long").distinct()
     second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionAll(scratch.write(verify(second, texts), "links2"))
+    survivors = scratch.write(second, "survivors2")
+    links = links.unionAll(scratch.write(verify(survivors, texts), "links2"))
     # Rows of one id are one document.
     ids = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("doc_id", "a")
     links = links.unionAll(known.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a != b"))
     comps = scratch.write(components(links, scratch, "all"), "final")
-    for name in ("met", "first", "texts", "links1", "links2", "comps"):
+    for name in ("met", "first", "texts", "survivors1", "survivors2", "links1", "links2", "comps"):
         scratch.drop(name)
 
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
