@@ -6,9 +6,10 @@ candidates. They are looked at in two rounds:
 
 1. In each bucket, all nodes are compared with the least one only. That joins
    large groups of near copies with as many pairs as they have members.
-2. Pairs in a bucket that are still in different components are all compared, in
-   blocks of bounded size, inside the tasks; only pairs that the signatures
-   can't rule out leave them.
+2. In buckets that still hold several components, all pairs of different ones are
+   compared, in blocks of bounded size, inside the tasks. A task also verifies them,
+   and leaves out pairs that its own links have joined meanwhile, so what leaves it are
+   fewer links than the block has nodes.
 
 In both, signatures are compared a batch at a time. After n hashes with m
 matches, the posterior of the similarity under a uniform prior is
@@ -43,8 +44,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes that are compared at a time, and the chance of a link that pruning may miss.
 BATCH, MISS = 16, 1e-6
-#: Members of a bucket that meet in one task of the second round, from each side.
-BLOCK = 256
+#: Members of a bucket that meet in one task of the second round, from each side; pairs that are looked at together.
+BLOCK, PAIRS = 1024, 1 << 16
 #: Partners that one task verifies with a text.
 PARTNERS = 64
 CACHE = 500_000
@@ -157,8 +158,8 @@ def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block. Its pairs: of different components, met in no earlier band, not ruled out."""
-    held = None
+    """Rows come sorted by block. Links of its nodes that join different components."""
+    held, sets = None, _Sets()
     for rows in batches:
         rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
         if not len(rows):
@@ -166,43 +167,85 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = rows[["key", "i", "j"]].to_numpy()
         starts = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1])
         held = rows.iloc[starts[-1] :]
-        yield from _pairs(rows.iloc[: starts[-1]], starts)
+        yield _links(rows.iloc[: starts[-1]], starts, sets)
     if held is not None:
-        yield from _pairs(held.reset_index(drop=True), np.array([0, len(held)]))
+        yield _links(held.reset_index(drop=True), np.array([0, len(held)]), sets)
 
 
-def _pairs(rows: pd.DataFrame, edges: np.ndarray, most: int = 1 << 15) -> Iterator[pd.DataFrame]:
+class _Sets:
+    """Shingle sets of nodes, kept up to a bound."""
+
+    def __init__(self, most: int = 10_000):
+        self.shingler, self.kept, self.most = Shingler(), {}, most
+
+    def __call__(self, node: int, text: str) -> np.ndarray:
+        if node not in self.kept:
+            if len(self.kept) >= self.most:
+                self.kept.clear()
+            self.kept[node] = self.shingler(text)
+        return self.kept[node]
+
+
+def _links(rows: pd.DataFrame, edges: np.ndarray, sets: _Sets) -> pd.DataFrame:
+    """Pairs of one block at a time: of different components, met in no earlier band, without the bucket's least
+    node, which round 1 has seen; not ruled out, not joined meanwhile by another link, and verified."""
+    found: list[tuple[int, int]] = []
     if not len(rows):
-        return
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     sig, comp, node, band = _signatures(rows.sig), rows.comp.to_numpy(), rows.node.to_numpy(), rows.band.to_numpy()
-    own, crossed = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy()
-
-    def kept(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        different = comp[x] != comp[y]
-        x, y = x[different], y[different]
+    text = rows.text.to_numpy()
+    own, crossed, seen = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy(), (rows.node == rows.a).to_numpy()
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    def look(x: np.ndarray, y: np.ndarray) -> None:
+        new = (comp[x] != comp[y]) & ~seen[x] & ~seen[y]
+        x, y = x[new], y[new]
         good = likely(sig, sig, x, y)
         x, y = x[good], y[good]
-        met = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]
-        x, y = node[x[met]], node[y[met]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        if not len(x):
+            return
+        equal = sig[x] == sig[y]
+        met = equal.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]
+        order = np.flatnonzero(met)[np.argsort(-equal[met].sum(axis=1), kind="stable")]
+        for p, q in zip(x[order].tolist(), y[order].tolist()):
+            c, d = top(int(comp[p])), top(int(comp[q]))
+            if c != d and similar(sets(int(node[p]), text[p]), sets(int(node[q]), text[q])):
+                root[max(c, d)] = min(c, d)
+                found.append((int(node[p]), int(node[q])))
 
     xs, ys, n = [], [], 0
     for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        one, two = np.arange(begin, end), np.arange(begin, end)
         if crossed[begin]:
-            one, two = begin + np.flatnonzero(own[begin:end]), begin + np.flatnonzero(~own[begin:end])
-            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
-        elif end - begin == 2:
-            x, y = [begin], [begin + 1]
-        else:
-            x, y = (begin + k for k in np.triu_indices(end - begin, 1))
-        xs.append(x)
-        ys.append(y)
-        n += len(x)
-        if n >= most:
-            yield kept(np.concatenate(xs), np.concatenate(ys))
-            xs, ys, n = [], [], 0
+            one, two = one[own[begin:end]], two[~own[begin:end]]
+        for i in range(0, len(one), PAIRS // BLOCK):
+            part = one[i : i + PAIRS // BLOCK]
+            x, y = np.repeat(part, len(two)), np.tile(two, len(part))
+            if not crossed[begin]:
+                x, y = x[x < y], y[x < y]
+            xs.append(x)
+            ys.append(y)
+            n += len(x)
+            if n >= PAIRS:
+                look(np.concatenate(xs), np.concatenate(ys))
+                xs, ys, n = [], [], 0
     if n:
-        yield kept(np.concatenate(xs).astype(np.int64), np.concatenate(ys).astype(np.int64))
+        look(np.concatenate(xs), np.concatenate(ys))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def similar(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(one), len(two)) < PERCENT * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= PERCENT * (len(one) + len(two) - both)
 
 
 def _text_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,9 +265,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if a != last:
                     last, own = a, shingler(text)
                 continue
-            other = shingler(text)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(own) + len(other) - both):
+            if similar(own, shingler(text)):
                 found.append((a, b))
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -285,21 +326,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.write(verify(survivors, texts), "links1")
     comps = scratch.write(components(links, scratch, "star"), "comps")
 
-    placed = met.select("key", "band", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+    placed = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     rest = placed.join(mixed, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "node", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(sigs, "node")
-    second = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_blocks, "a long, b long").distinct()
-    second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    survivors = scratch.write(second, "survivors2")
-    links = links.unionAll(scratch.write(verify(survivors, texts), "links2"))
+    rest = rest.select("key", "band", "node", "a", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    dealt = rest.join(sigs, "node").join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = links.unionAll(scratch.write(dealt.mapInPandas(_blocks, "a long, b long"), "links2"))
     # Rows of one id are one document.
     ids = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("doc_id", "a")
     links = links.unionAll(known.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a != b"))
     comps = scratch.write(components(links, scratch, "all"), "final")
-    for name in ("met", "first", "texts", "survivors1", "survivors2", "links1", "links2", "comps"):
+    for name in ("met", "first", "texts", "survivors1", "links1", "links2", "comps"):
         scratch.drop(name)
 
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
