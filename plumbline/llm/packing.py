@@ -21,16 +21,19 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, parts
+from .common import Scratch, only
 
 WINDOW = 4096
 END = 2
 #: Documents of a shard, on average; what a task holds at once.
 SHARD = 1024
 K1, B = 1.2, 0.75
+#: Distinct words of a generation.
 CACHE = 400_000
 #: Ids of the vocabulary, at most; they fit 16 bits.
 VOCABULARY = 1 << 16
@@ -39,9 +42,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary's pattern never spans white space, so each distinct word is encoded once a task.
+    """Ids of whole texts, a column at a time.
 
-    Capitals don't matter to the vocabulary, and signs at the end of a word are pieces of their own.
+    The vocabulary's pattern never spans white space, so the ids of a text are those of its words,
+    and each distinct word is encoded once. Words are kept in two generations, so those that
+    recur stay. Capitals don't matter to the vocabulary, and signs at the end of a word are pieces of their own.
     """
 
     def __init__(self, tokenizer: str):
@@ -50,43 +55,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.ends = np.zeros(VOCABULARY, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> pa.Array:
         """The ids of each text and the end id, as 16-bit numbers."""
-        split = [(t or "").encode().split() for t in texts]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special tokens, which are found in the text as it stands
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        ids = [*map(self.words.__getitem__, distinct), np.uint16(END).tobytes()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint16)
+        at = split.offsets.to_numpy()
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(distinct))
+        size = size[codes]
+        ends = np.cumsum(size)
+        out = flat[np.repeat(start[codes] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends[at[1:] - at[0] + np.arange(len(at) - 1)] * 2]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())])
+
+    def _learn(self, distinct: list[str]) -> None:
         if len(self.words) > CACHE:
-            self.words, self.stems = {}, {b"": b""}
-        if new := {w for words in split for w in words}.difference(self.words):
-            cut = {w: self._cut(w) for w in new}
-            self._encode(sorted({x for both in cut.values() for x in both}.difference(self.stems)))
-            self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in cut.items())
-        get, end = self.words.__getitem__, np.uint16(END).tobytes()
-        return [b"".join(map(get, words)) + end for words in split]
+            self.words, self.old = {"": b""}, self.words
+        words, old, new = self.words, self.old, []
+        for w in distinct:
+            if w not in words:
+                if (got := old.get(w)) is not None:
+                    words[w] = got
+                else:
+                    new.append(w)
+        cut = [self._cut(w) for w in new]
+        stems = self._encode(list({x for both in cut for x in both}))
+        words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(new, cut))
 
     @staticmethod
-    def _cut(word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:  # may be a special token, which is found in the text as it stands
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(b".,!?;:|$%*#&")
-        return (stem, word[len(stem) :]) if stem and stem.decode()[-1].isalpha() else (word, b"")
-
-    def _encode(self, stems: list[bytes]) -> None:
+    def _cut(word: str) -> tuple[str, str]:
+        if "<|" in word:
+            return word, ""
+        stem = word.rstrip(".,!?;:|$%*#&")
+        return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
+
+    def _encode(self, stems: list[str]) -> dict[str, bytes]:
         """Letters alone are one piece each, so many are encoded together and told apart by their last ids."""
-        plain = [w for w in stems if w.decode().isalpha()]
-        other = sorted(set(stems).difference(plain))
-        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)):
+        found, plain, other = {}, [], []
+        for w in stems:
+            (plain if w.isalpha() else other).append(w)
+        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint16)
-            at = np.flatnonzero(self.ends[ids]) + 1
+            at = (np.flatnonzero(self.ends[ids]) * 2 + 2).tolist()
             if len(at) == len(run):
-                self.stems.update(zip(run, (x.tobytes() for x in np.split(ids, at[:-1]))))
+                raw = ids.tobytes()
+                found.update((w, raw[a:b]) for w, a, b in zip(run, [0, *at], at))
             else:  # a letter that the vocabulary's rules take apart
                 other += run
-        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-            self.stems[w] = np.array(e.ids, np.uint16).tobytes()
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            found[w] = np.array(e.ids, np.uint16).tobytes()
+        return found
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    """One for each worker process, whose tasks share its words."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer)
+    return _encoders[tokenizer]
+
+
+def slices(column: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
+    """The column in runs of about ``most`` bytes, a value never cut."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most)))
+        yield column.slice(begin, end - begin)
+        begin = end
 
 
 def statistics(encoded: DataFrame) -> tuple[int, float, np.ndarray]:
@@ -166,15 +215,16 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
     """The pieces of all documents."""
     docs = only(docs, doc_id="doc_id", text="text")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
-        for rows in batches:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer)
+        for batch in batches:
             at = 0
-            for part in parts(rows.text.tolist()):
-                yield pd.DataFrame({"doc_id": rows.doc_id.iloc[at : at + len(part)].astype("Int64"), "ids": encoder(part)})
+            for part in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), encoder(part)], ["doc_id", "ids"])
                 at += len(part)
 
-    encoded = Scratch(docs.sparkSession, "packing").write(docs.mapInPandas(encode, "doc_id long, ids binary"), "encoded")
+    scratch = Scratch(docs.sparkSession, "packing")
+    encoded = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
     n, mean, df = statistics(encoded)
     corpus = docs.sparkSession.sparkContext.broadcast((n, mean, df))  # a number for each id of the vocabulary
 
