@@ -241,7 +241,8 @@ def join_anti(spark, sf):
     return table(spark, sf, "part").select("p_partkey").join(big, col("p_partkey") == col("l_partkey"), "left_anti")
 
 
-_SAME_ORDER = (col("l_orderkey") == col("k")) & (col("l_suppkey") != col("s"))
+def _same_order():
+    return (col("l_orderkey") == col("k")) & (col("l_suppkey") != col("s"))
 
 
 def _lines_twice(spark, sf):
@@ -252,14 +253,14 @@ def _lines_twice(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem a WHERE l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)")
 def join_semi_residual(spark, sf):
     a, b = _lines_twice(spark, sf)
-    return a.join(b, _SAME_ORDER, "left_semi").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return a.join(b, _same_order(), "left_semi").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem a WHERE l_returnflag = 'R'
     AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey AND b.l_returnflag = 'R')""")
 def join_anti_residual(spark, sf):
     a, b = _lines_twice(spark, sf)
-    return a.join(b.where("f = 'R'"), _SAME_ORDER, "left_anti").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return a.join(b.where("f = 'R'"), _same_order(), "left_anti").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 _BY_PRIORITY = "SELECT o_orderpriority, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"
