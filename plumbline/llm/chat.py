@@ -90,6 +90,8 @@ def covered(spans: list[tuple[int, int]], begins: np.ndarray, ends: np.ndarray,
         for b, e in zip(begins[i:j].tolist(), ends[i:j].tolist()):
             b, e = max(b, at), min(e, high)  # tokens of one character's bytes share its place
             if e > b:
+                if found and found[-1][1] == b:  # runs of tokens are one span
+                    b = found.pop()[0]
                 found.append((b, e))
                 at = e
     return found
@@ -142,14 +144,8 @@ def sha256(text: str) -> str:
 
 
 def learnt_texts(formatted: str, spans: list[tuple[int, int]]) -> list[str]:
-    """The unescaped texts under the mask; spans that touch belong to one turn, as marks stand between turns."""
-    joined: list[list[int]] = []
-    for b, e in spans:
-        if joined and joined[-1][1] == b:
-            joined[-1][1] = e
-        else:
-            joined.append([b, e])
-    return [unescape(formatted[b:e]) for b, e in joined]
+    """The unescaped texts under the mask. A span is one turn's text, as marks stand between turns."""
+    return [unescape(formatted[b:e]) for b, e in spans]
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
