@@ -49,7 +49,7 @@ def url_key(url: str | None) -> str:
         parts = urlsplit((url or "").strip())
         host, port = (parts.hostname or ""), parts.port
     except ValueError:  # not a URL; the text itself sorts
-        return (url or "").lower()
+        return re.sub(r"[\t\r\n]", " ", url or "").lower()
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + rest.lower()
 
@@ -140,7 +140,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
 
 def _line():
     """What lines are sorted and found by: the key, the id, and the place for rows that share both."""
-    return F.concat_ws("\t", "key", F.lpad(F.coalesce("page_id", F.lit(-1)).cast("string"), 20, "0"), "file", F.lpad(F.col("offset").cast("string"), 14, "0"))
+    return F.concat_ws("\t", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "file", F.col("offset").cast("string"))
 
 
 def build_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
@@ -177,7 +177,7 @@ def lookup(wanted: DataFrame, index: DataFrame, directory_rows: int = 1 << 20) -
         split = F.col("line") < F.lit(firsts[-1])
         low = lookup_in(wanted.where(split), index.where(F.col("first") < firsts[-1]), firsts[:-1])
         return low.unionAll(lookup(wanted.where(~split).select(F.split("line", "\t").alias("f")).select(
-            F.col("f")[0].alias("key"), F.col("f")[1].cast("long").alias("page_id"), F.col("f")[2].alias("file"), F.col("f")[3].cast("long").alias("offset")
+            F.col("f")[0].alias("key"), F.expr("try_cast(f[1] AS BIGINT)").alias("page_id"), F.col("f")[2].alias("file"), F.col("f")[3].cast("long").alias("offset")
         ), index.where(F.col("first") >= firsts[-1]), directory_rows))
     return lookup_in(wanted, index, firsts)
 
@@ -203,7 +203,7 @@ def lookup_in(wanted: DataFrame, index: DataFrame, firsts: list[str]) -> DataFra
                 i = bisect_left(keys, line)
                 if i < len(keys) and keys[i] == line:
                     key, page_id, file, offset = line.split("\t")
-                    found.append((key, None if int(page_id) < 0 else int(page_id), file, int(offset), values[i]))
+                    found.append((key, int(page_id) if page_id else None, file, int(offset), values[i]))
             yield pd.DataFrame(found, columns=CAPTURE_COLUMNS).astype({"page_id": "Int64"})
 
     asked = wanted.mapInPandas(place, "at string, line string, block binary").where("at is not null")
