@@ -122,11 +122,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED, penalty:
     if len(set(labels)) < 2:
         return Model({}, np.zeros((2, 0)), 0.0)
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
-    seen = Counter(f for ws in words for f in {f for w in set(ws) for f in features(w)})
+    seen: Counter = Counter()
+    for t in texts:  # words of one text at a time, so that the driver holds texts and numbers only
+        seen.update({f for w in set(words_of(t)) for f in features(w)})
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_DOCUMENTS or f[:-1] in IDENTITY))}
-    rows = [vector(ws, index) for ws in words]
-    sentences = [[w for s in _SENTENCE.findall(t or "") if (w := words_of(s))] for t in texts]
+    seen.clear()
+    rows = [vector(words_of(t), index) for t in texts]
     weight, past, bias, past_bias = np.zeros((2, len(index))), np.full((2, len(index)), 1e-2), 0.0, 1e-2
     weigh = np.where(y == 1, min(4.0, len(y) / (2 * y.sum())), 1.0)
 
@@ -144,8 +145,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED, penalty:
             past_bias += g * g
             bias -= RATE / np.sqrt(past_bias) * g
             move(f, g * np.stack([logs, shares]))
-            if penalty and sentences[i]:
-                one, two = (vector(v, index) for v in swapped(sentences[i][int(rng.integers(len(sentences[i])))], rng))
+            sentences = _SENTENCE.findall(texts[i] or "") if penalty else []
+            if sentences and (sentence := words_of(sentences[int(rng.integers(len(sentences)))])):
+                one, two = (vector(v, index) for v in swapped(sentence, rng))
                 both, at = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
                 sign = np.repeat([1.0, -1.0], [len(one[0]), len(two[0])])
                 change = np.stack([np.bincount(at, sign * np.concatenate([one[k], two[k]]), len(both)) for k in (1, 2)])
