@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, media, minhash, packing, quality, sharding, toxicity, warc
+from . import chat, decontamination, html_text, media, minhash, oracles, packing, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -28,7 +28,8 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations")), tokenizer("byte_bpe_50k.json")))
+    formatted = chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations")), tokenizer("byte_bpe_50k.json"))
+    return chat.digests(formatted).drop("n_tokens", "loss_tokens")
 
 
 def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,5 @@ QUERIES = {
     for f in (op1_quality, op2_warc, op3_feistel_shards, op4_chat_masks, op5_media_sequences, op6_toxicity, op7_near_duplicates, op8_decontamination, op9_packing, op10_html_text)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The rest hold trained models, tokenizers, checksums and formats that SQL doesn't have, or sampled hashes.
+ORACLE_SQL = {"op2_warc": oracles.WARC, "op4_chat_masks": oracles.CHAT, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
