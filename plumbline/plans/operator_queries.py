@@ -12,6 +12,7 @@ from ..operators import analysis
 from ..operators.relation import Relation, read
 from ..session import table
 from ..sources.catalog import Catalog
+from ..sources.shared import through_parquet
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,13 @@ def ddl_registered_table(spark, sf):
     return Catalog(spark).register_dataset(sf, ddl=ddl).table("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
 
 
+@query("SELECT l_suppkey, l_returnflag, ROUND(SUM(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2")
+def sink_round_trip(spark, sf):
+    """A result written as Parquet in the shared folder and read back."""
+    sums = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    return through_parquet(sums, "sink")
+
+
 _STATISTICS = "SELECT '{0}' AS column_name, COUNT(*) AS n_rows, CAST(COUNT(*) - COUNT({0}) AS BIGINT) AS n_nulls, CAST(MIN({0}) AS VARCHAR) AS least, CAST(MAX({0}) AS VARCHAR) AS most FROM customer"
 
 
@@ -343,6 +351,15 @@ def join_fused_probes(spark, sf):
     return table(spark, sf, "orders").where("o_totalprice > 300000").join(c, col("o_custkey") == col("c_custkey")).select("o_orderkey", "c_name", "n_name")
 
 
+@query("SELECT c_custkey, s_suppkey, a.n_name AS cn, b.n_name AS sn FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON s_suppkey = c_custkey JOIN nation b ON s_nationkey = b.n_nationkey")
+def join_reused_build(spark, sf):
+    """One small table on two sides of a plan: Spark reads and sends it once."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    c = table(spark, sf, "customer").join(n.toDF("k1", "cn"), col("c_nationkey") == col("k1"))
+    s = table(spark, sf, "supplier").join(n.toDF("k2", "sn"), col("s_nationkey") == col("k2"))
+    return c.join(s, col("c_custkey") == col("s_suppkey")).select("c_custkey", "s_suppkey", "cn", "sn")
+
+
 # Aggregates
 
 
@@ -395,6 +412,14 @@ def agg_conditional_sum(spark, sf):
     return lines.aggregate([0], [("sum", if_then_else(ref(1) > 25.0, 1, 0)), ("sum", if_then_else(ref(1) > 25.0, 0, 1))]).to_df(["l_returnflag", "large", "small"])
 
 
+@query("SELECT l_returnflag, ROUND(SUM(l_quantity), 2) AS q, COUNT(*) AS n, ROUND(AVG(l_quantity), 8) AS mean FROM lineitem GROUP BY 1")
+def agg_mean_of_parts(spark, sf):
+    """A mean from the sum and the count that are outputs anyway."""
+    lines = read(catalog(spark, sf, "lineitem"), "lineitem", ["l_returnflag", "l_quantity"]).aggregate([0], [("sum", 1), ("count_all", 1)])
+    df = lines.project([0, 1, 2, ref(1) / ref(2)]).to_df(["l_returnflag", "q", "n", "mean"])
+    return df.withColumns({"q": F.round("q", 2), "mean": F.round("mean", 8)})
+
+
 @query("SELECT l_linestatus, COUNT(*) AS n FROM lineitem WHERE l_tax > 0.05::DOUBLE GROUP BY 1")
 def agg_filtered(spark, sf):
     """The condition is part of the aggregate."""
