@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Scratch:
-    """Tables and files of one job, in the folder that the cluster shares.
-
-    The folder is ``spark.checkpoint.dir``; only a session that sets none
-    (tests, a laptop) gets a temporary folder of this machine.
-    """
+    """Tables and files of one job, in the folder that the cluster shares."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="plumbline-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
