@@ -48,6 +48,8 @@ BATCH, MISS = 16, 1e-6
 BLOCK, PAIRS = 1024, 1 << 16
 #: Partners that one task verifies with a text.
 PARTNERS = 64
+#: Copies of a text from which on its rows are split over SPLIT tasks, and how many such texts there can be.
+LARGE, MOST_LARGE, SPLIT = 1000, 100_000, 64
 CACHE = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -308,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = only(docs, doc_id="doc_id", text="text")
     signed = scratch.write(docs.mapInPandas(_sign, "doc_id long, n_shingles long, node long, sig binary"), "signed")
     known = signed.where("node is not null and doc_id is not null")
-    nodes = scratch.write(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes")
+    nodes = scratch.write(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "nodes")
     bands = scratch.write(nodes.select("node", "sig").mapInPandas(_bands, "key long, band int, node long"), "bands")
     shared = bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = scratch.write(bands.join(shared, "key"), "met")
@@ -343,7 +345,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         scratch.drop(name)
 
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    found = nodes.select("node", "doc_id").join(comps.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left").withColumn("component_id", component)
+    found = nodes.select("node", "doc_id", "copies").join(comps.join(least, "comp").select("node", "least"), "node", "left")
+    found = found.select("node", "copies", F.coalesce("least", "doc_id").alias("least"))
+    # A node with a large share of all rows is split over SPLIT tasks; there are at most MOST_LARGE of them, which is a bound for the broadcast.
+    large = F.col("copies") > max(LARGE, signed.count() // MOST_LARGE)
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(large, SPLIT - 1).otherwise(0)))).drop("copies")
+    names = F.broadcast(nodes.where(large).select("node", F.lit(True).alias("large")))
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT))).otherwise(0).cast("int")
+    rows = signed.select("doc_id", "n_shingles", "node").join(names, "node", "left").withColumn("salt", salt)
+    out = rows.join(spread, ["node", "salt"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -85,6 +85,12 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     same_components(spark.createDataFrame(list(enumerate(family(60, 3, 14))), "doc_id long, text string"))
 
 
+def test_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 5)
+    texts = ["one text that has very many copies"] * 50 + family(10, 4, 5)
+    same_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = same_components(odd)
     assert got[got.doc_id.isin([2, 3, 4])].n_shingles.tolist() == [0, 0, 0] and got[got.doc_id == 6].component_id.tolist() == [1]
