@@ -292,6 +292,7 @@ def extract_one(html):
     ("<article><p>x<div class='ad box'>buy</div><p>y<script>var t='</p>'</script><!-- <p>no --></article>", "x\ny"),
     ("<main><p>x</p><section id=comments><p>first!</p></section><form><p>q</p></form><p>z</main>", "x\nz"),
     ("<article class='post ad'><p>x</p><article class='comment'><p>c</p></article><div id='cookie-notice'>k</div>y</article>", "x\ny"),
+    ("<article><p title=don't>x</p><a href='a>b' title=\"c>d\">y</a> z</article>", "x\ny z"), ("<article><a href=\"open>x</a><p>y</article>", "x\ny"),
     ("<p>no marks</p><div class=sidebar>s</div><p hidden>h</p>", "no marks"),
     ("<article><p>open &#8212; &bogus; &lt;p&gt;", "open — &bogus; <p>"),
     ("<article><ul><li>1<li>2</ul><table><tr><td>a<td>b</table><aside>n</aside></article>", "1\n2\na\nb"),
