@@ -14,8 +14,7 @@ or run twice leaves at most a file that nothing reads.
 
 Edge cases: a null html is an empty payload; empty payloads are equal and follow
 the same rule; a null url has an empty key; page_ids may repeat (each row has
-its own record, and the largest id among equal payloads is the response once, further
-rows of that id are responses too); a null page_id is a response that nothing refers
+its own record; rows of the largest id among equal payloads are all responses); a null page_id is a response that nothing refers
 to; an empty table gives no archives and no rows; extra columns are ignored.
 """
 
@@ -88,11 +87,15 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
+def _sha1():
+    return F.unhex(F.sha1(F.coalesce("html", F.lit(""))))
+
+
 def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another one; no texts are shuffled."""
-    digests = pages.where(F.col("page_id").isNotNull()).select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("sha1"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least)
+    """(page_id, sha1, refers_to) of the payloads that revisit another page's; no texts are shuffled."""
+    digests = pages.where(F.col("page_id").isNotNull()).select("page_id", _sha1().alias("sha1"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least)
     same = digests.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return digests.join(same, "sha1").where("page_id != refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(same, "sha1").where("page_id != refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
 def _store(folder: str):
@@ -109,7 +112,7 @@ CAPTURE_COLUMNS = ["key", "page_id", "file", "offset", "length"]
 def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     """Write the archives; the captures, one for each row of ``pages``."""
     pages = only(pages, page_id="page_id", url="url", html="html")
-    rows = pages.join(revisits(pages, least), "page_id", "left")
+    rows = pages.withColumn("sha1", _sha1()).join(revisits(pages, least), ["page_id", "sha1"], "left").drop("sha1")
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

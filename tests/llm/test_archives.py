@@ -38,6 +38,13 @@ def test_warc_round_trip(spark, pages):
         assert (r.record_type == "response") == (first == r.page_id) and (pd.isna(r.refers_to) if first == r.page_id else r.refers_to == first)
 
 
+def test_warc_rows_of_one_id(spark):
+    rows = [(1, "http://a/", "same"), (1, "http://a/", "other"), (2, "http://b/", "same"), (2, "http://b/", "same")]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    kinds = sorted((int(r.page_id), int(r.payload_bytes), r.record_type) for r in got.itertuples())
+    assert kinds == [(1, 4, "revisit"), (1, 5, "response"), (2, 4, "response"), (2, 4, "response")]
+
+
 def test_warc_index_finds_each_and_only_what_is_there(spark, pages):
     scratch = Scratch(spark, "test")
     captures = scratch.write(warc.write(pages, scratch.path("archives")), "captures")
