@@ -181,6 +181,7 @@ def score(docs: DataFrame, model, column: str = "score", text: str = "text") ->
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.concatenate([np.empty(0), *(shared.value.score(part) for part in parts(list(texts)))]))
+        shared.value.cache.clear()  # the worker lives on, and other steps need its memory
 
     return docs.withColumn(column, scored(F.col(f"`{text}`")))
 
