@@ -2,9 +2,10 @@
 
 A document is its token ids and one end id. Documents longer than a window fill
 whole windows of their own; what is left of each, and every shorter document,
-is an item. Items are dealt by a hash of the document into shards of about
-``SHARD`` documents. Each shard has an inverted index of its items' token ids with
-BM25 impacts; document frequencies and the mean length are those of the whole
+is an item. Items are dealt by content into shards of about ``SHARD`` documents: a tree
+of splits at medians, learnt on a sample of items' projected BM25 vectors, sends items with like
+words to one shard, however many shards there are. Each shard has an inverted index of its items'
+token ids with BM25 impacts; document frequencies and the mean length are those of the whole
 corpus. The first unused item is a seed: its unused neighbours, best score first,
 fill its window, and the one that doesn't fit is cut there. Its rest stays an
 unused item. So only the last window of a shard is padded.
@@ -23,16 +24,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, mix64, only
 
 WINDOW = 4096
 END = 2
 #: Documents of a shard, on average; what a task holds at once.
 SHARD = 1024
+#: Dimensions of projected items, sampled items a shard and at least, and the jitter that parts equal items.
+DIMENSIONS, SAMPLE, LEAST_SAMPLE, JITTER = 128, 16, 8192, 1e-3
 K1, B = 1.2, 0.75
+#: Of the idf in a projection; of the projection's signs.
+POWER, SEED = 1.5, 20240616
 #: Distinct words of a generation.
 CACHE = 400_000
 #: Ids of the vocabulary, at most; they fit 16 bits.
@@ -211,6 +216,98 @@ def windows(lengths: list[int], items: list[np.ndarray], n: int, mean: float, df
         yield window
 
 
+class Projection:
+    """Items as short vectors: their words' signs, weighted like BM25's query and document at once; ones of like words are near."""
+
+    def __init__(self, n: int, df: np.ndarray):
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        signs = np.random.default_rng(SEED).integers(0, 2, (VOCABULARY, DIMENSIONS), np.int8) * 2 - 1
+        self.words = (signs * (idf**POWER)[:, None]).astype(np.float32)
+
+    def __call__(self, items: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(items), DIMENSIONS), np.float32)
+        for i, ids in enumerate(items):
+            if len(ids):
+                out[i] = self.words[np.unique(ids)].sum(axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Tree:
+    """Splits of vectors at medians along their main direction; node k has the children 2k + 1 and 2k + 2, a leaf is a shard."""
+
+    def __init__(self, sample: np.ndarray, salts: np.ndarray, shards: int):
+        direction, cut, left, right = [], [], [], []
+
+        def grow(at: np.ndarray, first: int, count: int, depth: int) -> int:
+            """A node's number, or for a leaf -1 - its shard."""
+            if count == 1:
+                return -1 - first
+            low = count // 2
+            x = sample[at].astype(np.float64)
+            x = x - x.mean(axis=0) if len(x) else x
+            way = np.linalg.eigh(x.T @ x)[1][:, -1].astype(np.float32)
+            value = sample[at] @ way + jitter(salts[at], depth)
+            place = float(np.quantile(value, low / count)) if len(at) else 0.0
+            me = len(cut)
+            for column, x in zip((direction, cut, left, right), (way, place, 0, 0)):
+                column.append(x)
+            left[me] = grow(at[value < place], first, low, depth + 1)
+            right[me] = grow(at[value >= place], first + low, count - low, depth + 1)
+            return me
+
+        grow(np.arange(len(sample)), 0, shards, 0)
+        self.direction = np.array(direction, np.float32).reshape(-1, DIMENSIONS)
+        self.cut, self.left, self.right = np.array(cut), np.array(left, np.int64), np.array(right, np.int64)
+
+    def __call__(self, vectors: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        """The shard of each."""
+        node, depth = np.zeros(len(vectors), np.int64) if len(self.cut) else np.full(len(vectors), -1), 0
+        while len(at := np.flatnonzero(node >= 0)):
+            k = node[at]
+            value = np.einsum("ij,ij->i", vectors[at], self.direction[k]) + jitter(salts[at], depth)
+            node[at] = np.where(value < self.cut[k], self.left[k], self.right[k])
+            depth += 1
+        return -1 - node
+
+
+def jitter(salts: np.ndarray, depth: int) -> np.ndarray:
+    """Small numbers, another for each depth, so that equal items fall on both sides of a cut."""
+    return (mix64(salts.astype(np.uint64) + np.uint64(depth)) >> np.uint64(11)).astype(np.float64) * (JITTER / (1 << 53))
+
+
+def rest_of(ids: bytes) -> np.ndarray:
+    """What is left after whole windows."""
+    x = np.frombuffer(ids, np.uint16)
+    return x[len(x) - len(x) % WINDOW :]
+
+
+def deal(encoded: DataFrame, shards: int, n: int, df: np.ndarray, spark: SparkSession) -> DataFrame:
+    """doc_id, ids and shard; each shard gets about as many rows, near ones together."""
+    salted = encoded.withColumn("salt", F.xxhash64("doc_id", F.crc32("ids")))
+    every = spark.sparkContext.broadcast(df)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        projection = Projection(n, every.value)
+        for batch in batches:
+            vectors = projection([rest_of(x) for x in batch.column("ids").to_pylist()]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column("salt"), pa.array([v.tobytes() for v in vectors], pa.binary())], ["salt", "vector"])
+
+    most = max(LEAST_SAMPLE, SAMPLE * shards)
+    sample = salted.where(F.pmod("salt", F.lit(max(1, n // most))) == 0).mapInArrow(project, "salt long, vector binary")
+    rows = sample.dropDuplicates(["salt"]).toPandas().sort_values("salt")
+    vectors = np.frombuffer(b"".join(rows.vector), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    tree = spark.sparkContext.broadcast(Tree(vectors, rows.salt.to_numpy(np.int64), shards))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        projection = Projection(n, every.value)
+        for batch in batches:
+            vectors = projection([rest_of(x) for x in batch.column("ids").to_pylist()])
+            shard = tree.value(vectors, batch.column("salt").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(shard, pa.int64())], ["doc_id", "ids", "shard"])
+
+    return salted.mapInArrow(place, "doc_id long, ids binary, shard long")
+
+
 def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
     """The pieces of all documents."""
     docs = only(docs, doc_id="doc_id", text="text")
@@ -240,5 +337,5 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
         return pd.DataFrame(found, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
     shards = max(1, -(-n // shard))
-    dealt = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
+    dealt = deal(encoded, shards, n, df, scratch.spark) if shards > 1 else encoded.withColumn("shard", F.lit(0).cast("long"))
     return dealt.groupBy("shard").applyInPandas(fill, PIECES)

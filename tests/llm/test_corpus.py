@@ -254,6 +254,31 @@ def test_bm25_scores_and_neighbours():
     assert [d for d, *_ in first] == [0, 2, 1, 3]  # the best neighbour comes first
 
 
+def test_near_documents_share_a_shard(spark):
+    """Of 120 families of near texts, dealt to 15 shards, most copies meet; a deal by id brings a fifteenth together."""
+    from tokenizers import Tokenizer
+
+    vocabulary = sorted(w[:-4] for w in Tokenizer.from_file(tokenizer("word_bpe_49k.json")).get_vocab() if w.endswith("</w>") and w[:-4].isalpha() and w.isascii() and len(w) > 9)
+    rng, rows = random.Random(6), []
+    for f in range(120):
+        base = rng.sample(vocabulary, 80)
+        rows += [(f + 120 * c, " ".join(w if rng.random() > 0.1 else rng.choice(vocabulary) for w in base)) for c in range(8)]
+    got, _ = check_packing(spark.createDataFrame(rows, "doc_id long, text string"), 64)
+    shard = dict(zip(got.doc_id, got.sequence_id // (1 << 32)))
+    met = np.mean([shard[f] == shard[f + 120 * c] for f in range(120) for c in range(1, 8)])
+    assert len(set(shard.values())) == 15 and met > 0.5
+
+
+def test_equal_items_part():
+    """A third of all items is one text; no shard holds more than its share."""
+    vectors = np.random.default_rng(1).normal(size=(3000, packing.DIMENSIONS)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[::3] = vectors[0]
+    salts = np.random.default_rng(2).integers(0, 1 << 62, 3000)
+    size = np.bincount(packing.Tree(vectors, salts, 30)(vectors, salts), minlength=30)
+    assert len(size) == 30 and size.min() > 50 and size.max() < 200
+
+
 # HTML
 
 
