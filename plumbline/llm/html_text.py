@@ -8,7 +8,7 @@ at least ``LEAST_RUN`` tokens that distinct pages repeat. A block that they cove
 boilerplate and goes; what is unique stays. Marks take precedence over repeats where
 they decide: the whole article is asked for, so a passage that articles share isn't
 cut out of one that is marked up as such, and furniture goes even where only one page
-has it. So the repeats decide on all blocks that no mark claims.
+has it. So the repeats decide on all blocks that no mark claims, beside an article too.
 
 Edge cases: a null or empty html gives an empty text; markup that is never closed
 ends with the page; unknown character references stay as written; a page without a
@@ -189,15 +189,15 @@ def repeated(streams: list[np.ndarray], least: int = LEAST_RUN, pages: int = LEA
 
 
 def extracted(pages: list[list[tuple[str, int]]], covered: list[np.ndarray]) -> list[str]:
-    """The article's blocks, or where a page marks none the unclaimed blocks that no repeats cover."""
+    """The article's blocks and the unclaimed blocks that no repeats cover."""
     out = []
     for found, cover in zip(pages, covered):
-        at, kept, marked = 0, [], any(mark == ARTICLE for _, mark in found)
+        at, kept = 0, []
         for text, mark in found:
             n = text.count(" ") + 1
             share = cover[at : at + n].mean()
             at += n
-            if mark == ARTICLE or mark == NEITHER and not marked and share < COVERED:
+            if mark == ARTICLE or mark == NEITHER and share < COVERED:
                 kept.append(text)
         out.append("\n".join(kept))
     return out

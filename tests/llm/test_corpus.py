@@ -346,3 +346,12 @@ def test_groups_do_not_change_marked_pages(spark, monkeypatch):
     whole = sorted((r.page_id, r.text) for r in html_text.extract(df).collect())
     monkeypatch.setattr(html_text, "GROUP_PAGES", 5)
     assert sorted((r.page_id, r.text) for r in html_text.extract(df).collect()) == whole and all(t for _, t in whole)
+
+
+def test_repeats_decide_beside_an_article(spark):
+    """A page with one marked teaser keeps the unclaimed text that is its own."""
+    shared = "all rights are reserved by the owners of this very fine site"
+    own = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(4)]
+    rows = [(i, f"http://one.example/{i}", f"<div>{shared}</div><article>teaser {i}</article><div>{own[i]}</div>") for i in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"teaser {i}\n{own[i]}" for i in range(4)}
