@@ -4,7 +4,8 @@ Each page becomes blocks of text in page order, each marked by where it stands:
 in the article, in page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), or in neither. The pages of a host, in groups of bounded
 size, are concatenated as token streams; a suffix array finds the substrings of
-at least ``LEAST_RUN`` tokens that distinct pages repeat. A block that they cover is
+at least ``LEAST_RUN`` tokens that distinct pages repeat. Where a host has more than one
+group, keys of its runs are counted over all of them, with the same result. A block that they cover is
 boilerplate and goes; what is unique stays. Marks take precedence over repeats where
 they decide: the whole article is asked for, so a passage that articles share isn't
 cut out of one that is marked up as such, and furniture goes even where only one page
@@ -30,16 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import Scratch, mix64, only
 
 #: Tokens of a repeated run, at least, and distinct pages that must have it.
 LEAST_RUN, LEAST_PAGES = 8, 3
 #: The share of a block's tokens that repeated runs must cover.
 COVERED = 0.9
-#: Pages of a host that share a suffix array, on average, and tokens of one, at most (a longer page alone).
+#: Pages of a host that share a suffix array and their tokens, at most; of a larger host's groups, on average.
 GROUP_PAGES, GROUP_TOKENS = 512, 2_000_000
 #: Hosts with more than a group's pages that a broadcast may list.
 BROADCAST_HOSTS = 200_000
+#: Words of 64 bits in the filter of runs that are asked for, and hashes of words kept.
+FILTER_WORDS, CACHE = 1 << 18, 500_000
 
 # Elements by their part in a page.
 _BLOCKS = set(
@@ -203,55 +206,153 @@ def extracted(pages: list[list[tuple[str, int]]], covered: list[np.ndarray]) ->
     return out
 
 
-class _Group:
-    """Pages in hand that share a suffix array."""
+class _Streams:
+    """Token streams of pages; keeps the hashes of words."""
 
     def __init__(self):
-        self.rows, self.pages, self.streams, self.tokens, self.hashes = [], [], [], 0, {}
+        self.hashes: dict[str, int] = {}
 
-    def add(self, page_id, url, html) -> None:
-        found = blocks(html)
-        words = " ".join(t for t, _ in found).split(" ") if found else []
-        hashes = self.hashes
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        words, hashes = " ".join(texts).split(" ") if len(texts) else [], self.hashes
+        if len(hashes) > CACHE:
+            hashes.clear()
         for w in set(words).difference(hashes):
             hashes[w] = xxhash.xxh3_64_intdigest(w) | 1 << 63  # never a mark between pages
-        self.rows.append((page_id, url))
-        self.pages.append(found)
-        self.streams.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        self.tokens += len(words)
+        return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
-    def done(self) -> pd.DataFrame:
-        texts = extracted(self.pages, repeated(self.streams))
-        out = pd.DataFrame({"page_id": pd.array([r[0] for r in self.rows], "Int64"), "url": [r[1] for r in self.rows], "text": texts, "n_chars": [len(t) for t in texts]})
-        self.__init__()
-        return out
 
+def run_keys(stream: np.ndarray, host: str, least: int = LEAST_RUN) -> np.ndarray:
+    """A key for each run of ``least`` tokens, another on each host."""
+    n = max(len(stream) - least + 1, 0)
+    key = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for k in range(least):
+        key = mix64(key + stream[k : k + n])
+    return key.view(np.int64)
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by group; a group of many tokens is cut, always at the same pages."""
-    group, last = _Group(), None
+
+def covered_by(keys: np.ndarray, found: np.ndarray, length: int, least: int = LEAST_RUN) -> np.ndarray:
+    """Which tokens of a page are in a run whose key is among ``found``."""
+    edge = np.zeros(length + 1, np.int64)
+    start = np.flatnonzero(np.isin(keys, found))
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + least, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _table(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": rows.page_id.astype("Int64"), "url": rows.url, "text": texts, "n_chars": [len(t) for t in texts]})
+
+
+def _marked(rows: pd.DataFrame) -> list[list[tuple[str, int]]]:
+    return [list(zip(t, m)) for t, m in zip(rows.texts, rows.marks)]
+
+
+PARSED = "page_id long, url string, host string, texts array<string>, marks array<int>, tokens long"
+PAGES = "page_id long, url string, text string, n_chars long"
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 256)):
+            some = rows.iloc[part]
+            found = [blocks(h) for h in some.html]
+            yield pd.DataFrame({
+                "page_id": some.page_id.astype("Int64"), "url": some.url, "host": some.host, "texts": [[t for t, _ in f] for f in found], "marks": [[m for _, m in f] for f in found],
+                "tokens": [sum(t.count(" ") + 1 for t, _ in f) for f in found],
+            })
+
+
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    """A host that is one group: all its pages share a suffix array, which only unclaimed blocks need."""
+    rows = rows.sort_values(["page_id", "url"], ignore_index=True)
+    if any(NEITHER in m for m in rows.marks):
+        cover = repeated([*map(_Streams(), rows.texts)])
+    else:
+        cover = [np.zeros(n, bool) for n in rows.tokens]
+    return _table(rows, extracted(_marked(rows), cover))
+
+
+def _claimed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages whose blocks are all claimed; no repeat matters."""
+    for rows in batches:
+        yield _table(rows, extracted(_marked(rows), [np.zeros(n, bool) for n in rows.tokens]))
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bits of a filter with the keys of runs that touch unclaimed blocks."""
+    bits, streams = np.zeros(FILTER_WORDS, np.uint64), _Streams()
     for rows in batches:
-        for host, part, page_id, url, html in zip(rows.host, rows.part, rows.page_id, rows.url, rows.html):
-            if group.rows and ((host, part) != last or group.tokens >= GROUP_TOKENS):
-                yield group.done()
-            last = (host, part)
-            group.add(None if pd.isna(page_id) else int(page_id), url, html)
-    if group.rows:
-        yield group.done()
+        for host, texts, marks in zip(rows.host, rows.texts, rows.marks):
+            keys = run_keys(streams(texts), host)
+            open_ = np.repeat(np.asarray(marks) == NEITHER, [t.count(" ") + 1 for t in texts])
+            inside = np.concatenate([[0], np.cumsum(open_)])
+            word, bit = _filter_place(keys[inside[LEAST_RUN:] > inside[: len(keys)]] if len(keys) else keys)
+            np.bitwise_or.at(bits, word, bit)
+    used = np.flatnonzero(bits)
+    yield pd.DataFrame({"word": used, "bits": bits[used].view(np.int64)})
+
+
+def _filter_place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = keys.view(np.uint64)
+    return (k % np.uint64(FILTER_WORDS)).astype(np.int64), np.uint64(1) << (k >> np.uint64(58))
+
+
+def _large(pages: DataFrame) -> DataFrame:
+    """Pages of hosts with many groups. Runs are counted over the whole host; groups only bound what a task holds."""
+    spark, open_ = pages.sparkSession, F.array_contains("marks", NEITHER)
+    rows = pages.where(open_).select("host", "texts", "marks").mapInPandas(_asked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    if not len(rows):
+        return pages.mapInPandas(_claimed, PAGES)
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[rows.word] = rows.bits.to_numpy(np.int64).view(np.uint64)
+    asked = spark.sparkContext.broadcast(bits)  # of a fixed size
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        """Up to ``LEAST_PAGES`` different pages of each run in a group."""
+        streams, keys, owners = _Streams(), [], []
+        for host, texts in zip(rows.host, rows.texts):
+            stream = streams(texts)
+            own = np.unique(run_keys(stream, host))
+            word, bit = _filter_place(own)
+            own = own[(asked.value[word] & bit) != 0]
+            keys.append(own)
+            owners.append(np.full(len(own), xxhash.xxh3_64_intdigest(stream.tobytes()), np.uint64).view(np.int64))
+        found = pd.DataFrame({"key": np.concatenate(keys), "page": np.concatenate(owners)}).drop_duplicates()
+        found = found[found.groupby("key").cumcount() < LEAST_PAGES]
+        return found.assign(group=int(rows.group.iloc[0]))
+
+    def cut(pages: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        streams, found, cover = _Streams(), keys.key.to_numpy(np.int64), []
+        for host, texts in zip(pages.host, pages.texts):
+            stream = streams(texts)
+            cover.append(covered_by(run_keys(stream, host), found, len(stream)))
+        return _table(pages, extracted(_marked(pages), cover))
+
+    runs = pages.groupBy("group").applyInPandas(count, "key long, page long, group long")
+    often = runs.groupBy("key").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("group").alias("groups")).where(F.col("n") >= LEAST_PAGES)
+    keys = often.select("key", F.explode("groups").alias("group"))
+    closed = pages.where(~open_).mapInPandas(_claimed, PAGES)
+    return pages.where(open_).groupBy("group").cogroup(keys.groupBy("group")).applyInPandas(lambda p, k: cut(p, k) if len(p) else pd.DataFrame(columns=[c.split()[0] for c in PAGES.split(", ")]), PAGES).unionAll(closed)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages``.
 
-    A host's pages are dealt by a hash into groups of about ``GROUP_PAGES``, so a host with a third of
-    all pages is as many groups as it needs.
+    A host of up to ``GROUP_PAGES`` pages and ``GROUP_TOKENS`` tokens is one group. A larger one is dealt by a hash into
+    as many groups as it needs, whose runs are counted together.
     """
     pages = only(pages, page_id="page_id", url="url", html="html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    pages = pages.withColumn("host", host)
-    large = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAGES).cast("int").alias("parts")).where("parts > 1")
-    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    scratch = Scratch(pages.sparkSession, "html")
+    parsed = scratch.write(pages.withColumn("host", host).mapInPandas(_parse, PARSED), "parsed")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(F.sum("tokens") / GROUP_TOKENS)).cast("int").alias("parts")
+    large = parsed.groupBy("host").agg(parts).where("parts > 1")
+    hosts = large.limit(BROADCAST_HOSTS + 1).count()
+    if hosts <= BROADCAST_HOSTS:
         large = F.broadcast(large)
-    dealt = pages.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
-    rows = dealt.select("host", "part", "page_id", "url", "html").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url", "html")
-    return rows.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    small = parsed.join(large, "host", "left_anti").groupBy("host").applyInPandas(_whole, PAGES)
+    if not hosts:
+        return small
+    part = F.pmod(F.xxhash64("page_id", "url", F.xxhash64("texts")), F.col("parts"))
+    dealt = parsed.join(large, "host").withColumn("group", F.xxhash64("host", part)).select("group", *parsed.columns)
+    return _large(dealt).unionAll(small)

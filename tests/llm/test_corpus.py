@@ -355,3 +355,17 @@ def test_repeats_decide_beside_an_article(spark):
     rows = [(i, f"http://one.example/{i}", f"<div>{shared}</div><article>teaser {i}</article><div>{own[i]}</div>") for i in range(4)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"teaser {i}\n{own[i]}" for i in range(4)}
+
+
+def test_groups_do_not_change_unmarked_pages(spark, monkeypatch):
+    """A passage on three pages of a host is a repeat however many groups the pages are dealt to."""
+    passage = lambda k: " ".join(f"p{k}x{j}" for j in range(12))
+    rows = [(i, f"http://one.example/{i}", f"<div>{passage(i // 3)}</div><div>{' '.join(f'u{i}x{k}' for k in range(12))}</div>") for i in range(60)]
+    rows += [(100 + i, "http://two.example/", f"<div>{passage(i // 3)}</div><article>a {i}</article>") for i in range(2)] + [(200, "http://one.example/", None), (None, None, "<p>z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str)
+    assert all(t.startswith(f"u{i}x0 ") for i, t in whole if i is not None and i < 60) and (100, f"{passage(0)}\na 0") in whole
+    for name, value in (("GROUP_PAGES", 2), ("GROUP_TOKENS", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, value)
+            assert sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str) == whole
