@@ -10,8 +10,10 @@ leave a run of three whole while 3k < n - 2, to which k is held. Each window is
 embedded by CGK random walks: at step j the walk writes the word it stands on, and a
 random bit of (j, word) says whether it moves on; sequences at a small edit distance
 then agree at most steps. Sampled steps of the embedding are the keys of
-``TABLES`` hash tables of the items; windows and items that share a key are candidates, and
-the exact edit distance decides.
+``TABLES`` hash tables of the items; windows and items that share a key are verified first, and
+the exact edit distance decides. Walks of long items with many edits drift apart, so each other
+item with a shared run is verified too, where a count of shared words leaves fewer edits possible
+than are found so far: k edits of n words leave n - k of them, so nothing is lost at any length.
 
 The items' tables are broadcast for at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words at a
 time; a larger benchmark is a query set that runs against all documents in blocks.
@@ -148,6 +150,10 @@ class Finder:
     def __init__(self, items: Items):
         self.items, self.cache = items, {}
         self.lengths = np.array([len(w) for w in items.words], np.int64)
+        self.most = np.array([most_edits(len(w)) for w in items.words], np.int64)
+        self.flat = np.concatenate([*items.words, np.empty(0, np.int64)])
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.known = np.zeros(len(items.number), bool)
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
@@ -159,8 +165,8 @@ class Finder:
         got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         return got[got > -2]
 
-    def windows(self, text: np.ndarray) -> np.ndarray:
-        """(item's length, start) of the windows at shared runs."""
+    def starts(self, text: np.ndarray) -> np.ndarray:
+        """(item, start) of the windows at shared runs, in this order."""
         found = []
         for size, (code, item, offset) in self.items.grams.items():
             own = gram(text, size, len(self.items.number))
@@ -169,13 +175,43 @@ class Finder:
             hit = np.repeat(at, last - first)
             if len(hit):
                 k = np.repeat(first, last - first) + np.arange(len(hit)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
-                found.append(np.stack([self.lengths[item[k]], hit - offset[k]], axis=1))
+                found.append(np.stack([item[k], hit - offset[k]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
+    def shared(self, items: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """How many words of each item, repeats counted, are anywhere in the text."""
+        known, size = self.known, self.lengths[items]
+        known[text[text >= 0]] = True
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[items] - ends + size, size) + np.arange(int(ends[-1]))
+        count = np.add.reduceat(known[self.flat[at]].astype(np.int64), ends - size)
+        known[text[text >= 0]] = False
+        return count
+
+    def rest(self, text: np.ndarray, start: np.ndarray, best: dict[int, int]) -> None:
+        """Lowers ``best`` (edits by item) to the exact figures of all items with a shared run; start: rows of ``starts``."""
+        items, begin = np.unique(start[:, 0], return_index=True)
+        most = self.most[items]
+        hopeful = np.flatnonzero(most > 0)
+        if not len(hopeful):
+            return
+        hopeful = hopeful[self.lengths[items[hopeful]] - self.shared(items[hopeful], text) <= most[hopeful]]
+        ends = np.append(begin[1:], len(start))
+        for i in hopeful.tolist():
+            k, m, n = int(items[i]), int(most[i]), int(self.lengths[items[i]])
+            at = start[begin[i] : ends[i], 1]
+            cuts = np.flatnonzero(np.diff(at) > n + 2 * m) + 1  # windows that touch are one run of text
+            for a, b in zip(at[np.append(0, cuts)].tolist(), at[np.append(cuts, len(at)) - 1].tolist()):
+                run = text[max(a - m, 0) : b + n + m]
+                least = n - int(self.shared(items[i : i + 1], run)[0])
+                if least < best.get(k, m + 1) and (d := fitting_distance(self.items.words[k], run)) < best.get(k, m + 1):
+                    best[k] = d
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, item's words) of each item that a text holds."""
         numbers = [self.numbers(t) for t in texts]
-        each = [self.windows(w) for w in numbers]
+        starts = [self.starts(w) for w in numbers]
+        each = [np.unique(np.stack([self.lengths[s[:, 0]], s[:, 1]], axis=1), axis=0) for s in starts]
         text = np.repeat(np.arange(len(texts)), [len(w) for w in each])
         window = np.concatenate(each) if each else np.empty((0, 2), np.int64)
         best: dict[tuple[int, int], int] = {}
@@ -196,6 +232,11 @@ class Finder:
                         d = fitting_distance(self.items.words[k], numbers[t][max(s - most, 0) : s + n + most])
                         if d <= most and d < best.get((t, k), most + 1):
                             best[t, k] = d
+        for t, start in enumerate(starts):
+            if len(start):
+                known = {k: d for k in np.unique(start[:, 0]).tolist() if (d := best.get((t, k))) is not None}
+                self.rest(numbers[t], start, known)
+                best.update(((t, k), d) for k, d in known.items())
         return [(t, k, d, len(self.items.words[k])) for (t, k), d in sorted(best.items())]
 
 

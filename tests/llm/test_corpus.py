@@ -185,6 +185,25 @@ def test_cgk_keeps_near_sequences_near():
     assert near > 0.7 > 0.2 > far
 
 
+@pytest.mark.parametrize("n", [12, 40, 60, 120, 200])
+def test_items_with_most_edits_are_found(n):
+    """Every item at the most edits allowed, with the edit distance of brute force over all runs of the text."""
+    rng = random.Random(n)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for _ in range(30)]
+    finder, texts = decontamination.Finder(decontamination.Items.of(list(range(30)), [" ".join(x) for x in items])), []
+    for x in items:
+        piece = list(x)
+        for at in rng.sample(range(n), decontamination.most_edits(n)):
+            piece[at] = f"z{rng.randrange(3000)}"
+        texts.append(" ".join([f"v{rng.randrange(3000)}" for _ in range(40)] + piece + [f"v{rng.randrange(3000)}" for _ in range(40)]))
+    numbers, want = [finder.numbers(t) for t in texts], set()
+    for t, text in enumerate(numbers):
+        for k, item in enumerate(finder.items.words):
+            if (d := decontamination.fitting_distance(item, text)) <= decontamination.most_edits(n):
+                want.add((t, k, d, n))
+    assert {(i, i) for i in range(30)} <= {w[:2] for w in want} and set(finder.find(texts)) == want
+
+
 # Packing
 
 
