@@ -442,6 +442,14 @@ def sort_nulls(spark, sf):
     return Relation(c).sort([(1, "descending", "before"), (0, "ascending", "before")]).fetch(0, 300).to_df()
 
 
+@query("""SELECT c_custkey, bal FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer)
+    ORDER BY bal DESC NULLS FIRST, c_custkey""")
+def sort_nulls_whole(spark, sf):
+    """The whole table in the order of ``sort_nulls``."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(col("c_custkey") % 7 != 0, col("c_acctbal")).alias("bal"))
+    return Relation(c).sort([(1, "descending", "before"), (0, "ascending", "before")]).to_df()
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 15")
 def fetch_offset(spark, sf):
     o = read(catalog(spark, sf, "orders"), "orders", ["o_orderkey", "o_totalprice"])

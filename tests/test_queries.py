@@ -53,3 +53,11 @@ def test_repartition_is_the_only_exchange(spark, sf):
 
 def test_topk_sorts_within_tasks(spark, sf):
     assert "TakeOrderedAndProject" in plan(operator_queries.topk(spark, sf))
+
+
+def test_nulls_come_before_all_values(spark):
+    """At sf0.1 there are more nulls than a top-300 holds; values must follow them, largest first."""
+    rows = operator_queries.QUERIES["sort_nulls_whole"](spark, "/root/testdata/sf0.1").collect()
+    nulls, values = [r.c_custkey for r in rows if r.bal is None], [r.bal for r in rows if r.bal is not None]
+    assert len(rows) == 15_000 and len(nulls) == 2143 and values == sorted(values, reverse=True)
+    assert [r.c_custkey for r in rows[:2143]] == sorted(nulls)
