@@ -1,22 +1,27 @@
 """Operator 10. HTML extraction with suffix arrays over hosts.
 
-Each page becomes blocks of text in page order, each marked by where it stands:
-in the article, in page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), or in neither. The pages of a host, in groups of bounded
-size, are concatenated as token streams; a suffix array finds the substrings of
-at least ``LEAST_RUN`` tokens that distinct pages repeat. Where a host has more than one
-group, keys of its runs are counted over all of them, with the same result. A block that they cover is
-boilerplate and goes; what is unique stays. Marks take precedence over repeats where
-they decide: the whole article is asked for, so a passage that articles share isn't
-cut out of one that is marked up as such, and furniture goes even where only one page
-has it. So the repeats decide on all blocks that no mark claims, beside an article too.
+Each page becomes blocks of text in page order. A block has a place, the path of elements and classes
+it stands in, and a mark: in the article, in page furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, comments), or in neither. Blocks inside an article are kept, also where articles
+share a passage. All other blocks of a page are its token stream. The pages of a host, in groups of bounded
+size, are concatenated; a suffix array finds the distinct runs of ``LEAST_RUN`` tokens of each group and the
+pages that have them, and a shuffle by run counts pages over all groups of the host. So the result
+doesn't depend on how a host is grouped. The union of the runs on ``LEAST_PAGES`` different pages is that of all
+longer substrings these pages repeat.
+
+The share of a place's tokens that repeats cover, over the whole host, says what it is:
+
+* from ``TEMPLATE`` on the place is a part of the host's template. Furniture there goes. In blocks without a mark covered
+  runs are cut and unique ones stay; from ``ALL_TEMPLATE`` on nothing stays;
+* below, the place holds text of the pages' own; a block without a mark is kept as it is.
+
+Furniture whose place repeats don't show (a host of few pages, adverts and comments that are new on each page)
+goes by its mark.
 
 Edge cases: a null or empty html gives an empty text; markup that is never closed
-ends with the page; unknown character references stay as written; a page without a
-host shares the group of its like; equal pages that aren't marked up are boilerplate
-to each other only if a third page has it too (a repeat needs ``LEAST_PAGES`` pages with
-different texts); repeated rows each give a row; an empty table gives no rows; extra
-columns are ignored.
+ends with the page; unknown character references stay as written; pages without a
+host are one host; pages with the same blocks count as one page; repeated rows each give a row; an empty table
+gives no rows; extra columns are ignored. A page must fit a task.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,15 +40,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, only
 
 #: Tokens of a repeated run, at least, and distinct pages that must have it.
-LEAST_RUN, LEAST_PAGES = 8, 3
-#: The share of a block's tokens that repeated runs must cover.
-COVERED = 0.9
-#: Pages of a host that share a suffix array and their tokens, at most; of a larger host's groups, on average.
-GROUP_PAGES, GROUP_TOKENS = 512, 2_000_000
+LEAST_RUN, LEAST_PAGES = 5, 3
+#: Shares of a place's tokens from which on it is a part of the template, and nothing else.
+TEMPLATE, ALL_TEMPLATE = 0.4, 0.9
+#: Pages of a host that share a suffix array and their tokens outside articles, on average.
+GROUP_PAGES, GROUP_TOKENS = 64, 500_000
 #: Hosts with more than a group's pages that a broadcast may list.
 BROADCAST_HOSTS = 200_000
-#: Words of 64 bits in the filter of runs that are asked for, and hashes of words kept.
-FILTER_WORDS, CACHE = 1 << 18, 500_000
+#: Hashes of words that a task keeps.
+CACHE = 500_000
 
 # Elements by their part in a page.
 _BLOCKS = set(
@@ -64,6 +70,8 @@ _CLASSES = re.compile(
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond)(?:$|[\s_-])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NUMBER = re.compile(r"\d+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW}
 _PARAGRAPH_ENDS = _BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "body", "html", "head", "title", "legend"}
 
@@ -86,24 +94,31 @@ def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(html: str | None) -> list[tuple[str, int]]:
-    """(text, mark) of each block in page order; white space is one space, ends are trimmed."""
+def _label(name: str, attributes: str) -> str:
+    """An element's part of a place: its name and class, without numbers."""
+    found = _CLASS.search(attributes) if "class" in attributes else None
+    return f"{name}.{_NUMBER.sub('', next(v for v in found.groups() if v is not None))}" if found else name
+
+
+def blocks(html: str | None) -> list[tuple[str, int, int]]:
+    """(text, mark, place) of each block in page order; white space is one space, ends are trimmed."""
     html = html or ""
-    found: list[tuple[str, int]] = []
+    found: list[tuple[str, int, int]] = []
     text: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    open_: list[tuple[str, bool, bool, str]] = []  # name, furniture, article, label
     furniture = article = 0
 
     def flush() -> None:
         if text:
             if words := unescape("".join(text)).split():
-                found.append((" ".join(words), FURNITURE if furniture else ARTICLE if article else NEITHER))
+                place = crc32("/".join(label for *_, label in open_ if label).encode()) - (1 << 31)
+                found.append((" ".join(words), FURNITURE if furniture else ARTICLE if article else NEITHER, place))
             text.clear()
 
     def close(depth: int) -> None:
         nonlocal furniture, article
         while len(open_) > depth:
-            _, f, a = open_.pop()
+            _, f, a, _ = open_.pop()
             furniture, article = furniture - f, article - a
 
     at, end = 0, len(html)
@@ -148,7 +163,7 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
         if name in _EMPTY or m[4].endswith("/"):
             continue
         f, a = _furniture(name, m[4], bool(article)), name in ("article", "main")
-        open_.append((name, f, a))
+        open_.append((name, f, a, _label(name, m[4]) if name in _BLOCKS else ""))
         furniture, article = furniture + f, article + a
     flush()
     return found
@@ -166,46 +181,55 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def shared_runs(streams: list[np.ndarray], owners: list[int], least: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All streams with a mark after each one, the starts of runs of ``least`` tokens in the order of the suffix array, the number
+    of each start's run, and that of its owner."""
+    if not streams:
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+    tokens = np.concatenate([np.append(s, np.uint64(i)) for i, s in enumerate(streams)])  # so runs stay inside pages
+    _, page = np.unique(np.asarray(owners), return_inverse=True)
+    inside = np.concatenate([np.arange(len(s), -1, -1) >= least for s in streams])
+    order = suffix_array(tokens, least)
+    order = order[inside[order]]
+    if not len(order):
+        return tokens, order, order, order
+    same = np.ones(len(order) - 1, bool)
+    for k in range(least):
+        same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
+    run = np.concatenate([[0], np.cumsum(~same)])
+    return tokens, order, run, page[np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])[order]]
+
+
 def repeated(streams: list[np.ndarray], least: int = LEAST_RUN, pages: int = LEAST_PAGES) -> list[np.ndarray]:
     """For each page's tokens, which are in a run of ``least`` tokens that ``pages`` different pages have."""
     distinct: dict[bytes, int] = {}
-    page = [distinct.setdefault(s.tobytes(), len(distinct)) for s in streams]
-    # A mark of its own after each page keeps runs inside pages.
-    tokens = np.concatenate([np.append(s, np.uint64(i)) for i, s in enumerate(streams)]) if streams else np.empty(0, np.uint64)
-    owner = np.repeat(page, [len(s) + 1 for s in streams])
-    covered = np.zeros(len(tokens), bool)
-    if len(tokens) > least:
-        order = suffix_array(tokens, least)
-        order = order[order + least <= len(tokens)]
-        same = np.ones(len(order) - 1, bool)
-        for k in range(least):
-            same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-        run = np.concatenate([[0], np.cumsum(~same)])
-        pair = np.unique(run * np.int64(len(distinct)) + owner[order])
-        held = np.bincount(pair // len(distinct), minlength=run[-1] + 1 if len(run) else 0)
-        start = order[held[run] >= pages]
-        edge = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, np.minimum(start + least, len(tokens)), -1)
-        covered = np.cumsum(edge)[:-1] > 0
-    return [c[:-1] for c in np.split(covered, np.cumsum([len(s) + 1 for s in streams])[:-1])] if streams else []
-
-
-def extracted(pages: list[list[tuple[str, int]]], covered: list[np.ndarray]) -> list[str]:
-    """The article's blocks and the unclaimed blocks that no repeats cover."""
-    out = []
-    for found, cover in zip(pages, covered):
-        at, kept = 0, []
-        for text, mark in found:
-            n = text.count(" ") + 1
-            share = cover[at : at + n].mean()
-            at += n
-            if mark == ARTICLE or mark == NEITHER and share < COVERED:
-                kept.append(text)
-        out.append("\n".join(kept))
+    tokens, order, run, owner = shared_runs(streams, [distinct.setdefault(s.tobytes(), len(distinct)) for s in streams], least)
+    pair = np.unique(run * np.int64(len(distinct)) + owner)
+    held = np.bincount(pair // max(len(distinct), 1), minlength=len(order) + 1)
+    cover, at, out = spread(order[held[run] >= pages], len(tokens), least), 0, []
+    for s in streams:
+        out.append(cover[at : at + len(s)])
+        at += len(s) + 1
     return out
 
 
+def spread(starts: np.ndarray, length: int, least: int) -> np.ndarray:
+    """Which of ``length`` tokens are in a run from one of the starts."""
+    edge = np.zeros(length + least + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
+    return np.cumsum(edge)[:length] > 0
+
+
+def run_keys(stream: np.ndarray, host: str, least: int = LEAST_RUN) -> np.ndarray:
+    """A key for each run of ``least`` tokens, another on each host."""
+    n = max(len(stream) - least + 1, 0)
+    key = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for k in range(least):
+        key = mix64(key + stream[k : k + n])
+    return key.view(np.int64)
+
+
 class _Streams:
     """Token streams of pages; keeps the hashes of words."""
 
@@ -221,34 +245,40 @@ class _Streams:
         return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def run_keys(stream: np.ndarray, host: str, least: int = LEAST_RUN) -> np.ndarray:
-    """A key for each run of ``least`` tokens, another on each host."""
-    n = max(len(stream) - least + 1, 0)
-    key = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
-    for k in range(least):
-        key = mix64(key + stream[k : k + n])
-    return key.view(np.int64)
-
-
-def covered_by(keys: np.ndarray, found: np.ndarray, length: int, least: int = LEAST_RUN) -> np.ndarray:
-    """Which tokens of a page are in a run whose key is among ``found``."""
-    edge = np.zeros(length + 1, np.int64)
-    start = np.flatnonzero(np.isin(keys, found))
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + least, -1)
-    return np.cumsum(edge)[:-1] > 0
+def extracted(found: list[tuple[str, int, int]], cover: np.ndarray, shares: dict[int, float]) -> tuple[str, int, int]:
+    """A page's text, and how many characters of its blocks went by repeats and by marks alone.
 
-
-def _table(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": rows.page_id.astype("Int64"), "url": rows.url, "text": texts, "n_chars": [len(t) for t in texts]})
+    cover: of the tokens outside articles, which repeats cover; shares: of the template's places.
+    """
+    at, kept, gone = 0, [], [0, 0]
+    for text, mark, place in found:
+        if mark == ARTICLE:
+            kept.append(text)
+            continue
+        n, share = text.count(" ") + 1, shares.get(place, 0.0)
+        own, at = cover[at : at + n], at + n
+        if mark == FURNITURE or share >= ALL_TEMPLATE:
+            gone[share < TEMPLATE] += len(text)
+        elif share >= TEMPLATE and own.any():
+            edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+            cut = own.copy()
+            for a, b in edges:  # a run that only reaches over the block's edge cuts nothing off it
+                cut[a:b] = b - a >= min(LEAST_RUN, n)
+            rest = " ".join(w for w, c in zip(text.split(" "), cut.tolist()) if not c)
+            gone[0] += len(text) - len(rest)
+            if rest:
+                kept.append(rest)
+        else:
+            kept.append(text)
+    return "\n".join(kept), *gone
 
 
-def _marked(rows: pd.DataFrame) -> list[list[tuple[str, int]]]:
-    return [list(zip(t, m)) for t, m in zip(rows.texts, rows.marks)]
+PARSED = "page_id long, url string, host string, texts array<string>, marks array<int>, places array<int>, tokens long"
+PAGES = "page_id long, url string, text string, n_chars long, repeat_chars long, marked_chars long"
 
 
-PARSED = "page_id long, url string, host string, texts array<string>, marks array<int>, tokens long"
-PAGES = "page_id long, url string, text string, n_chars long"
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,102 +287,87 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             some = rows.iloc[part]
             found = [blocks(h) for h in some.html]
             yield pd.DataFrame({
-                "page_id": some.page_id.astype("Int64"), "url": some.url, "host": some.host, "texts": [[t for t, _ in f] for f in found], "marks": [[m for _, m in f] for f in found],
-                "tokens": [sum(t.count(" ") + 1 for t, _ in f) for f in found],
+                "page_id": some.page_id.astype("Int64"), "url": some.url, "host": some.host, "texts": [[t for t, *_ in f] for f in found], "marks": [[m for _, m, _ in f] for f in found],
+                "places": [[p for *_, p in f] for f in found], "tokens": [sum(t.count(" ") + 1 for t, m, _ in f if m != ARTICLE) for f in found],
             })
 
 
-def _whole(rows: pd.DataFrame) -> pd.DataFrame:
-    """A host that is one group: all its pages share a suffix array, which only unclaimed blocks need."""
-    rows = rows.sort_values(["page_id", "url"], ignore_index=True)
-    if any(NEITHER in m for m in rows.marks):
-        cover = repeated([*map(_Streams(), rows.texts)])
-    else:
-        cover = [np.zeros(n, bool) for n in rows.tokens]
-    return _table(rows, extracted(_marked(rows), cover))
-
-
-def _claimed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages whose blocks are all claimed; no repeat matters."""
-    for rows in batches:
-        yield _table(rows, extracted(_marked(rows), [np.zeros(n, bool) for n in rows.tokens]))
-
-
-def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bits of a filter with the keys of runs that touch unclaimed blocks."""
-    bits, streams = np.zeros(FILTER_WORDS, np.uint64), _Streams()
-    for rows in batches:
-        for host, texts, marks in zip(rows.host, rows.texts, rows.marks):
-            keys = run_keys(streams(texts), host)
-            open_ = np.repeat(np.asarray(marks) == NEITHER, [t.count(" ") + 1 for t in texts])
-            inside = np.concatenate([[0], np.cumsum(open_)])
-            word, bit = _filter_place(keys[inside[LEAST_RUN:] > inside[: len(keys)]] if len(keys) else keys)
-            np.bitwise_or.at(bits, word, bit)
-    used = np.flatnonzero(bits)
-    yield pd.DataFrame({"word": used, "bits": bits[used].view(np.int64)})
-
-
-def _filter_place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = keys.view(np.uint64)
-    return (k % np.uint64(FILTER_WORDS)).astype(np.int64), np.uint64(1) << (k >> np.uint64(58))
+def _runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a group of pages: each distinct run's key with up to ``LEAST_PAGES`` different pages that have it."""
+    streams, host = _Streams(), rows.host.iloc[0]
+    tokens, order, run, owner = shared_runs([streams(t) for t in rows.texts], rows.page.tolist())
+    names = np.unique(rows.page.to_numpy(np.int64))
+    pair = np.unique(run * np.int64(len(names)) + owner)
+    which = pair // len(names)
+    ahead = np.arange(len(pair)) - np.searchsorted(which, which)  # pages of the same run before this one
+    pair, which = pair[ahead < LEAST_PAGES], which[ahead < LEAST_PAGES]
+    first = order[np.searchsorted(run, which)]
+    key = np.full(len(which), xxhash.xxh3_64_intdigest(host), np.uint64)
+    for k in range(LEAST_RUN):
+        key = mix64(key + tokens[first + k])
+    return pd.DataFrame({"key": key.view(np.int64), "page": names[pair % len(names)], "group": rows.group.iloc[0]})
+
+
+def _covers(rows: pd.DataFrame, keys: np.ndarray, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    """The tokens of each page's texts that runs with these keys cover."""
+    streams = _Streams()
+    for host, own in zip(rows.host, texts):
+        stream = streams(own)
+        yield spread(np.flatnonzero(np.isin(run_keys(stream, host), keys)), len(stream), LEAST_RUN)
+
+
+def _tally(rows: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+    """Of a group of pages: tokens and covered tokens of each place."""
+    if not len(rows):
+        return pd.DataFrame({c: [] for c in ("host", "place", "covered", "tokens")})
+    size = [t.count(" ") + 1 for own in rows.texts for t in own]
+    place = np.repeat(np.concatenate([np.asarray(p, np.int64) for p in rows.places]), size)
+    cover = np.concatenate([*_covers(rows, keys.key.to_numpy(np.int64), rows.texts)])
+    names, at = np.unique(place, return_inverse=True)
+    return pd.DataFrame({"host": rows.host.iloc[0], "place": names, "covered": np.bincount(at, cover), "tokens": np.bincount(at)}).astype({"covered": "int64"})
 
 
-def _large(pages: DataFrame) -> DataFrame:
-    """Pages of hosts with many groups. Runs are counted over the whole host; groups only bound what a task holds."""
-    spark, open_ = pages.sparkSession, F.array_contains("marks", NEITHER)
-    rows = pages.where(open_).select("host", "texts", "marks").mapInPandas(_asked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+def _extract(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a group of pages. told: the keys of repeated runs, and the shares of the template's places."""
     if not len(rows):
-        return pages.mapInPandas(_claimed, PAGES)
-    bits = np.zeros(FILTER_WORDS, np.uint64)
-    bits[rows.word] = rows.bits.to_numpy(np.int64).view(np.uint64)
-    asked = spark.sparkContext.broadcast(bits)  # of a fixed size
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """Up to ``LEAST_PAGES`` different pages of each run in a group."""
-        streams, keys, owners = _Streams(), [], []
-        for host, texts in zip(rows.host, rows.texts):
-            stream = streams(texts)
-            own = np.unique(run_keys(stream, host))
-            word, bit = _filter_place(own)
-            own = own[(asked.value[word] & bit) != 0]
-            keys.append(own)
-            owners.append(np.full(len(own), xxhash.xxh3_64_intdigest(stream.tobytes()), np.uint64).view(np.int64))
-        found = pd.DataFrame({"key": np.concatenate(keys), "page": np.concatenate(owners)}).drop_duplicates()
-        found = found[found.groupby("key").cumcount() < LEAST_PAGES]
-        return found.assign(group=int(rows.group.iloc[0]))
-
-    def cut(pages: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-        streams, found, cover = _Streams(), keys.key.to_numpy(np.int64), []
-        for host, texts in zip(pages.host, pages.texts):
-            stream = streams(texts)
-            cover.append(covered_by(run_keys(stream, host), found, len(stream)))
-        return _table(pages, extracted(_marked(pages), cover))
-
-    runs = pages.groupBy("group").applyInPandas(count, "key long, page long, group long")
-    often = runs.groupBy("key").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("group").alias("groups")).where(F.col("n") >= LEAST_PAGES)
-    keys = often.select("key", F.explode("groups").alias("group"))
-    closed = pages.where(~open_).mapInPandas(_claimed, PAGES)
-    return pages.where(open_).groupBy("group").cogroup(keys.groupBy("group")).applyInPandas(lambda p, k: cut(p, k) if len(p) else pd.DataFrame(columns=[c.split()[0] for c in PAGES.split(", ")]), PAGES).unionAll(closed)
+        return pd.DataFrame({c: [] for c in _columns(PAGES)})
+    keys, places = told[told.share.isna()], told[told.share.notna()]
+    shares = dict(zip(places.key.tolist(), places.share.tolist()))
+    found = [list(zip(t, m, p)) for t, m, p in zip(rows.texts, rows.marks, rows.places)]
+    cover = _covers(rows, keys.key.to_numpy(np.int64), [[t for t, m, _ in f if m != ARTICLE] for f in found])
+    out = [extracted(f, c, shares) for f, c in zip(found, cover)]
+    return pd.DataFrame({
+        "page_id": rows.page_id.astype("Int64"), "url": rows.url, "text": [t for t, *_ in out], "n_chars": [len(t) for t, *_ in out],
+        "repeat_chars": [r for _, r, _ in out], "marked_chars": [m for *_, m in out],
+    })
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of ``pages``.
+    """page_id, url, text and n_chars for each row of ``pages``, and the characters that went by repeats and by marks alone.
 
-    A host of up to ``GROUP_PAGES`` pages and ``GROUP_TOKENS`` tokens is one group. A larger one is dealt by a hash into
-    as many groups as it needs, whose runs are counted together.
+    A host is dealt by a hash into as many groups as it needs.
     """
     pages = only(pages, page_id="page_id", url="url", html="html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     scratch = Scratch(pages.sparkSession, "html")
-    parsed = scratch.write(pages.withColumn("host", host).mapInPandas(_parse, PARSED), "parsed")
+    parsed = pages.withColumn("host", host).mapInPandas(_parse, PARSED).withColumn("page", F.xxhash64("texts")).withColumn("salt", F.monotonically_increasing_id())
+    parsed = scratch.write(parsed, "parsed")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(F.sum("tokens") / GROUP_TOKENS)).cast("int").alias("parts")
     large = parsed.groupBy("host").agg(parts).where("parts > 1")
-    hosts = large.limit(BROADCAST_HOSTS + 1).count()
-    if hosts <= BROADCAST_HOSTS:
+    if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
-    small = parsed.join(large, "host", "left_anti").groupBy("host").applyInPandas(_whole, PAGES)
-    if not hosts:
-        return small
-    part = F.pmod(F.xxhash64("page_id", "url", F.xxhash64("texts")), F.col("parts"))
-    dealt = parsed.join(large, "host").withColumn("group", F.xxhash64("host", part)).select("group", *parsed.columns)
-    return _large(dealt).unionAll(small)
+    part = F.pmod(F.xxhash64("salt"), F.coalesce("parts", F.lit(1)))
+    dealt = parsed.join(large, "host", "left").withColumn("group", F.xxhash64("host", part)).drop("parts", "salt", "tokens")
+    blocks_ = F.filter(F.arrays_zip("texts", "marks", "places"), lambda b: b["marks"] != ARTICLE)
+    open_ = dealt.withColumn("b", blocks_).where(F.size("b") > 0).select("group", "host", "page", F.col("b.texts").alias("texts"), F.col("b.places").alias("places"))
+
+    runs = scratch.write(open_.select("group", "host", "page", "texts").groupBy("group").applyInPandas(_runs, "key long, page long, group long"), "runs")
+    often = runs.select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= LEAST_PAGES).select("key")
+    keys = scratch.write(runs.select("key", "group").distinct().join(often, "key"), "keys")
+    scratch.drop("runs")
+    tally = open_.select("group", "host", "texts", "places").groupBy("group").cogroup(keys.groupBy("group")).applyInPandas(_tally, "host string, place long, covered long, tokens long")
+    share = (F.sum("covered") / F.sum("tokens")).alias("share")
+    places = scratch.write(tally.groupBy("host", "place").agg(share).where(F.col("share") >= TEMPLATE), "places")
+    groups = dealt.select("group", "host").distinct()
+    told = keys.select("group", "key", F.lit(None).cast("double").alias("share")).unionAll(groups.join(places, "host").select("group", F.col("place").alias("key"), "share"))
+    return dealt.select("group", "page_id", "url", "host", "texts", "marks", "places").groupBy("group").cogroup(told.groupBy("group")).applyInPandas(_extract, PAGES)

@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import decontamination, html_text, minhash, packing
 from plumbline.llm.common import table
 from plumbline.llm.queries import tokenizer
@@ -328,7 +330,7 @@ def test_repeats_equal_brute_force():
 
 def extract_one(html):
     found = html_text.blocks(html)
-    return html_text.extracted([found], [np.zeros(sum(t.count(" ") + 1 for t, _ in found), bool)])[0]
+    return html_text.extracted(found, np.zeros(sum(t.count(" ") + 1 for t, *_ in found), bool), {})[0]
 
 
 @pytest.mark.parametrize("html, want", [
@@ -388,3 +390,47 @@ def test_groups_do_not_change_unmarked_pages(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(html_text, name, value)
             assert sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str) == whole
+
+
+def test_runs_of_a_group_equal_brute_force():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(12)]
+    rows = pd.DataFrame({"texts": [[t] if t else [] for t in texts], "host": "h", "page": [hash(t) for t in texts], "group": 1})
+    owners = defaultdict(set)
+    for t in texts:
+        words = t.split()
+        for i in range(len(words) - html_text.LEAST_RUN + 1):
+            owners[int(html_text.run_keys(html_text._Streams()([" ".join(words[i : i + html_text.LEAST_RUN])]), "h")[0])].add(hash(t))
+    got = html_text._runs(rows)
+    assert not got.duplicated().any() and set(got.key) == set(owners)
+    for key, pages in got.groupby("key").page:
+        assert set(pages) <= owners[key] and len(pages) == min(len(owners[key]), html_text.LEAST_PAGES)
+
+
+def test_repeats_tell_the_template_without_marks(spark, monkeypatch):
+    """Places whose text repeats go, with the few blocks in them that don't; shared passages of articles stay. Any grouping gives this."""
+    menu, foot = "home news sport weather maps shop", "all rights are reserved by the owners of this very fine site"
+    passage = "a passage that some of the articles on this host happen to share"
+    def html(i, tag):
+        own = " ".join(f"u{i}x{k}" for k in range(60))
+        return f"<div class=top>{menu if i else 'one page has another menu than all others have'}</div><{tag}><p>{own}</p><p>{passage if i % 4 == 0 else f'v{i}'}</p></{tag}><div class=low>{foot}</div>"
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", html(i, "div")) for i in range(40)], "page_id long, url string, html string")
+    want = {i: "\n".join([" ".join(f"u{i}x{k}" for k in range(60)), passage if i % 4 == 0 else f"v{i}"]) for i in range(40)}
+    for size in (64, 3):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", size)
+        got = html_text.extract(df).collect()
+        assert {r.page_id: r.text for r in got} == want and all(r.repeat_chars and not r.marked_chars for r in got)
+
+
+def test_pages_are_the_same_when_their_articles_are_not_marked(spark):
+    """The shared passages of sf0.1's articles don't make an article a part of a template; see the README for all pages."""
+    marked = table(spark, "/root/testdata/sf0.1", "pages").where("url like '%//www.%'")
+    plain = marked.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    a, b = ({(r.page_id, r.text) for r in html_text.extract(x).collect()} for x in (marked, plain))
+    assert len(a) > 400 and a == b
+
+
+def test_a_very_long_page(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, "http://a/", f"<div>{words}</div>"), (2, "http://a/", f"<p>{words}")], "page_id long, url string, html string")
+    assert {r.page_id: r.n_chars for r in html_text.extract(df).collect()} == {1: len(words), 2: len(words)}
