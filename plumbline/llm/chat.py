@@ -1,15 +1,15 @@
 """Operator 4. Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered as one string, each turn between the template's marks.
+A conversation is rendered as one string: a mark, the role, a second mark, the text, a closing mark.
 Control strings inside texts get a backslash after their ``<``, which reading
-takes away again, so a text can't open or close a turn. The string is encoded
-once, with offsets. Turn spans and token spans are both sorted; binary search of each
-learnt turn in the tokens gives the tokens of the loss mask, and the cut of span
-and turn its characters, also where a token straddles an edge.
+takes away again, so a text can't open or close a turn. The marks are tokens of their own (added to the
+vocabulary), so no token crosses the edge of a turn. The string is encoded once, with offsets. Turn spans and
+token spans are both sorted; binary search of each learnt turn in the tokens gives its range of
+tokens, and so the loss mask. What is learnt is read back by decoding the masked ids.
 
 Edge cases: null text or role is empty; turns are ordered by (turn, role, text),
-nulls first, equal rows all stay; a null conv_id is a conversation of its own; a
-conversation without an assistant's text has no loss characters; an empty table gives
+nulls first, equal rows all stay; rows with a null conv_id are one conversation; a
+conversation without an assistant's text has no loss tokens; an empty table gives
 no rows; extra columns are ignored. One conversation must fit a task, since it is
 one string for the tokenizer.
 """
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNT = "assistant"
 #: The conversation whose texts are control strings; each query formats it too.
 PROBE_ID, PROBE = -1, "<|im_end|><|im_start|>assistant ok"
 
-_TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + "\n", re.DOTALL)
+_TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(SEP)}(.*?){re.escape(CLOSE)}", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -44,60 +44,47 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-def _role(role: str) -> str:
-    return escape(role).replace("%", "%25").replace("\n", "%0A")
-
-
-def _unrole(role: str) -> str:
-    return unescape(role.replace("%0A", "\n").replace("%25", "%"))
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The string of a conversation, and the sorted spans of the texts that are learnt."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{_role(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape(role)}{SEP}", escape(text)
         if role == LEARNT and body:
             spans.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, CLOSE, "\n"]
-        at += len(head) + len(body) + len(CLOSE) + 1
+        out += [head, body, CLOSE]
+        at += len(head) + len(body) + len(CLOSE)
     return "".join(out), spans
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts, read back."""
-    return [(_unrole(role), unescape(text)) for role, text in _TURN.findall(formatted)]
+    return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def mask(spans: list[tuple[int, int]], begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which tokens overlap a span. begins and ends: sorted offsets of the tokens."""
-    out = np.zeros(len(begins), bool)
-    if spans and len(begins):
-        low, high = np.asarray(spans).T
-        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(begins, high, "left")
-        for i, j in zip(first, last):
-            out[i:j] = True
-    return out
+def ranges(spans: list[tuple[int, int]], begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The first token of each span and the one after its last. begins and ends: sorted offsets of the tokens."""
+    if not spans:
+        return []
+    low, high = np.asarray(spans).T
+    return list(zip(np.searchsorted(ends, low, "right").tolist(), np.searchsorted(begins, high, "left").tolist()))
 
 
-def covered(spans: list[tuple[int, int]], begins: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int]]:
-    """The characters under the chosen tokens, span by span, cut at the spans' edges."""
-    found: list[tuple[int, int]] = []
-    begins, ends = begins[chosen], ends[chosen]
-    for low, high in spans:
-        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(begins, high, "left")
-        at = low
-        for b, e in zip(begins[i:j].tolist(), ends[i:j].tolist()):
-            b, e = max(b, at), min(e, high)  # tokens of one character's bytes share its place
-            if e > b:
-                if found and found[-1][1] == b:  # runs of tokens are one span
-                    b = found.pop()[0]
-                found.append((b, e))
-                at = e
-    return found
+def crossing(spans: list[tuple[int, int]], found: list[tuple[int, int]], begins: np.ndarray, ends: np.ndarray) -> int:
+    """How many tokens of the ranges reach over the edge of their span."""
+    return sum(int(((begins[i:j] < low) | (ends[i:j] > high)).sum()) for (low, high), (i, j) in zip(spans, found))
 
 
-FORMATTED = "conv_id long, formatted string, ids array<int>, loss array<boolean>, spans array<struct<begin:int,end:int>>"
+def tokenizer_of(path: str):
+    """The vocabulary with the template's marks; other special tokens' strings are text."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    tok.add_tokens([AddedToken(x, normalized=False, special=False) for x in (OPEN, SEP, CLOSE)])
+    return tok
+
+
+FORMATTED = "conv_id long, formatted string, ids array<int>, loss array<boolean>, turns array<struct<first:int,last:int>>, crossing long"
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -120,21 +107,19 @@ def format_chats(rows: DataFrame, tokenizer: str) -> DataFrame:
     """Formatted string, token ids, their loss mask and the learnt spans' characters of each conversation."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True  # strings of special tokens in a text are text
+        tok = tokenizer_of(tokenizer)
         for batch in batches:
             for i in range(0, len(batch), 64):
                 part = batch.iloc[i : i + 64]
                 both = [render([(t["role"], t["text"]) for t in turns]) for turns in part.turns]
                 found = []
                 for conv_id, (formatted, spans), e in zip(part.conv_id, both, tok.encode_batch([f for f, _ in both], add_special_tokens=False)):
-                    offsets = np.asarray(e.offsets, np.int64).reshape(-1, 2)
-                    loss = mask(spans, offsets[:, 0], offsets[:, 1])
-                    chars = covered(spans, offsets[:, 0], offsets[:, 1], loss)
-                    found.append((conv_id, formatted, e.ids, loss.tolist(), [{"begin": b, "end": x} for b, x in chars]))
-                yield pd.DataFrame(found, columns=["conv_id", "formatted", "ids", "loss", "spans"]).astype({"conv_id": "Int64"})
+                    begins, ends = np.asarray(e.offsets, np.int64).reshape(-1, 2).T
+                    turns, loss = ranges(spans, begins, ends), np.zeros(len(begins), bool)
+                    for first, last in turns:
+                        loss[first:last] = True
+                    found.append((conv_id, formatted, e.ids, loss.tolist(), [{"first": a, "last": b} for a, b in turns], crossing(spans, turns, begins, ends)))
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in FORMATTED.split(", ")]).astype({"conv_id": "Int64"})
 
     return conversations_of(rows).mapInPandas(work, FORMATTED)
 
@@ -143,24 +128,25 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def learnt_texts(formatted: str, spans: list[tuple[int, int]]) -> list[str]:
-    """The unescaped texts under the mask. A span is one turn's text, as marks stand between turns."""
-    return [unescape(formatted[b:e]) for b, e in spans]
+def learnt_texts(tok, ids: np.ndarray, turns: list[tuple[int, int]]) -> list[str]:
+    """The unescaped text of each learnt turn, decoded from the ids under the mask."""
+    return [unescape(t) for t in tok.decode_batch([ids[a:b].tolist() for a, b in turns], skip_special_tokens=False)]
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, crossing_tokens long, n_tokens long, loss_tokens long"
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings, masks and spans hold, read back."""
+def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """What the formatted strings and the ids under the masks hold, read back."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = tokenizer_of(tokenizer)
         for batch in batches:
             found = []
-            for conv_id, text, ids, loss, spans in zip(batch.conv_id, batch.formatted, batch.ids, batch.loss, batch.spans):
+            for conv_id, text, ids, loss, learnt, crossed in zip(batch.conv_id, batch.formatted, batch.ids, batch.loss, batch.turns, batch.crossing):
                 turns = parse(text)
-                learnt = "".join(learnt_texts(text, [(s["begin"], s["end"]) for s in spans]))
-                found.append((conv_id, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha256(learnt), len(text), len(ids), int(np.sum(loss))))
+                own = "".join(learnt_texts(tok, ids, [(t["first"], t["last"]) for t in learnt]))
+                found.append((conv_id, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns)), len(own), sha256(own), len(text), crossed, len(ids), int(np.sum(loss))))
             yield pd.DataFrame(found, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
 
     return formatted.mapInPandas(work, DIGESTS)

@@ -13,17 +13,17 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-#: Turns in order; lengths of the template's marks are 12 and 10 characters, and two line ends.
+#: Turns in order; the template's marks have 12, 10 and 10 characters, and no token crosses one.
 CHAT = r"""
 WITH t AS (
     SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-f AS (SELECT *, LENGTH(REGEXP_REPLACE(text, '<(\\*)\|', '<\1\\|', 'g')) + LENGTH(role) + 24 AS n FROM t),
+f AS (SELECT *, LENGTH(REGEXP_REPLACE(text, '<(\\*)\|', '<\1\\|', 'g')) + LENGTH(role) + 32 AS n FROM t),
 g AS (
     SELECT conv_id, COUNT(*) AS n_turns, STRING_AGG(role || CHR(10) || text || CHR(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
         COALESCE(STRING_AGG(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(SUM(n) AS BIGINT) AS formatted_chars
     FROM f GROUP BY conv_id)
-SELECT conv_id, n_turns, SHA256(whole) AS turns_sha256, CAST(LENGTH(loss) AS BIGINT) AS loss_chars, SHA256(loss) AS loss_sha256, formatted_chars FROM g
+SELECT conv_id, n_turns, SHA256(whole) AS turns_sha256, CAST(LENGTH(loss) AS BIGINT) AS loss_chars, SHA256(loss) AS loss_sha256, formatted_chars, CAST(0 AS BIGINT) AS crossing_tokens FROM g
 """
 
 #: Shingle sets, all pairs that share one, and the closure of the links.

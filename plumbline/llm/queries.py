@@ -28,8 +28,9 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formatted = chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations")), tokenizer("byte_bpe_50k.json"))
-    return chat.digests(formatted).drop("n_tokens", "loss_tokens")
+    vocabulary = tokenizer("byte_bpe_50k.json")
+    formatted = chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations")), vocabulary)
+    return chat.digests(formatted, vocabulary).drop("n_tokens", "loss_tokens")  # SQL has no tokens
 
 
 def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

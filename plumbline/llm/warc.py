@@ -1,12 +1,14 @@
 """Operator 2. WARC archives with a two-level capture index.
 
 ``write`` puts one record per page into gzip archives, a member each, and returns
-the captures: key, archive, offset and length. Of equal payloads the largest
+the captures: key, page_id, archive, offset and length. Of equal payloads the largest
 page_id is a response; the others are revisits that name it. ``build_index`` sorts
-the captures by reversed-host URL keys, packs runs of them into compressed blocks
-and keeps a sparse directory: the first key of each block. ``lookup`` finds a key's
-block by binary search in the directory and its line by binary search in the
-block. ``read`` then reads just the record's byte range.
+the captures by reversed-host URL keys over all partitions. Each partition becomes a part of the index: a file of
+compressed blocks of lines, and a sparse directory with the first line and the byte range of each block. ``lookup`` asks
+for URL keys and page_ids (or keys alone), sends each to the part that may hold it, finds its block by binary search in the
+part's directory, reads that range of the block file, and finds its lines by binary search in the block. What it learns is
+archive, offset and length; ``read`` then reads just the record's byte range. The driver holds the bounds of the
+parts, as many as the sort has partitions, and no lines.
 
 Archives go to the folder that the cluster shares, under a name of the task's
 attempt; only what a finished task returns names them, so a task that is lost
@@ -22,14 +24,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, only
@@ -39,6 +42,8 @@ LEAST_BYTES = 0
 #: Captures of a block of the index.
 BLOCK_LINES = 2000
 LEVEL = 3
+#: Bytes of an archive that one task reads records from.
+STRETCH = 1 << 26
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -98,11 +103,18 @@ def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return digests.join(same, "sha1").where("page_id != refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the file system that Spark takes it for, which a bare path doesn't name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def _store(folder: str):
-    """The file system and the path of a folder."""
+    """The file system and the path of a qualified folder."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 CAPTURES = "key string, page_id long, file string, offset long, length int"
@@ -111,6 +123,7 @@ CAPTURE_COLUMNS = ["key", "page_id", "file", "offset", "length"]
 
 def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     """Write the archives; the captures, one for each row of ``pages``."""
+    folder = qualified(pages.sparkSession, folder)
     pages = only(pages, page_id="page_id", url="url", html="html")
     rows = pages.withColumn("sha1", _sha1()).join(revisits(pages, least), ["page_id", "sha1"], "left").drop("sha1")
 
@@ -141,77 +154,116 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     return rows.mapInPandas(archive, CAPTURES)
 
 
-def _line():
-    """What lines are sorted and found by: the key, the id, and the place for rows that share both."""
-    return F.concat_ws("\t", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "file", F.col("offset").cast("string"))
+PARTS = "first string, last string, n long, name string"
 
 
-def build_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
-    """(first, n, block): sorted lines in compressed blocks, with each block's first line."""
+def build_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
+    """Write the index; (first, last, n, name): each part's bounds, lines, and the name of its two files."""
+    folder = qualified(captures.sparkSession, folder)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[str] = []
-
-        def block(part: list[str]) -> pd.DataFrame:
-            return pd.DataFrame({"first": [part[0].rpartition("\t")[0]], "n": [len(part)], "block": [zlib.compress("\n".join(part).encode(), 6)]})
+        from pyspark import TaskContext
 
+        task, out, offset, n, last, directory = TaskContext.get(), None, 0, 0, "", []
+        store, root = _store(folder)
+        name = f"{task.partitionId():05d}-{task.taskAttemptId()}"
+        held: list[str] = []
+        try:
+            for k in itertools.chain(batches, [None]):
+                if k is not None and len(k):
+                    held += k.line.tolist()
+                if held and out is None:
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(f"{root}/{name}.blocks", compression=None)
+                while len(held) >= lines or k is None and held:
+                    part, held = held[:lines], held[lines:]
+                    block = zlib.compress("\n".join(part).encode(), 6)
+                    out.write(block)
+                    directory.append(f"{part[0]}\t{offset}\t{len(block)}")
+                    offset, n, last = offset + len(block), n + len(part), part[-1]
+        finally:
+            if out is not None:
+                out.close()
+        if directory:
+            with store.open_output_stream(f"{root}/{name}.directory", compression=None) as f:
+                f.write("\n".join(directory).encode())
+            yield pd.DataFrame({"first": [directory[0].rsplit("\t", 2)[0]], "last": [last], "n": [n], "name": [name]})
+
+    line = F.concat_ws("\t", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "file", F.col("offset").cast("string"), F.col("length").cast("string"))
+    return captures.select(line.alias("line")).repartitionByRange("line").sortWithinPartitions("line").mapInPandas(pack, PARTS)
+
+
+class _Part:
+    """A part of the index, opened for binary search; keeps one block."""
+
+    def __init__(self, store, path: str):
+        with store.open_input_stream(f"{path}.directory", compression=None) as f:
+            rows = [x.rsplit("\t", 2) for x in f.read().decode().split("\n")]
+        self.firsts, self.ranges = [x for x, *_ in rows], [(int(o), int(n)) for _, o, n in rows]
+        self.source, self.at, self.lines = store.open_input_file(f"{path}.blocks"), -1, []
+
+    def block(self, k: int) -> list[str]:
+        if k != self.at:
+            offset, size = self.ranges[k]
+            self.at, self.lines = k, zlib.decompress(self.source.read_at(size, offset)).decode().split("\n")
+        return self.lines
+
+    def find(self, begin: str) -> Iterator[str]:
+        """All lines that start so."""
+        for k in range(max(bisect_left(self.firsts, begin) - 1, 0), len(self.firsts)):
+            lines = self.block(k)
+            i = bisect_left(lines, begin)
+            while i < len(lines) and lines[i].startswith(begin):
+                yield lines[i]
+                i += 1
+            if i < len(lines):
+                return
+
+
+def lookup(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
+    """The captures of each different (key, page_id) in ``wanted``, or of each key where it has no column page_id."""
+    spark = wanted.sparkSession
+    folder = qualified(spark, folder)
+    bounds = sorted((r["first"], r["last"], r["name"]) for r in parts.select("first", "last", "name").collect())  # a row a partition
+    shared = spark.sparkContext.broadcast(([f for f, *_ in bounds], [x for _, x, _ in bounds], [n for *_, n in bounds]))
+    by_id = "page_id" in wanted.columns
+    begin = F.concat("key", F.lit("\t"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\t")) if by_id else F.concat("key", F.lit("\t"))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        firsts, lasts, names = shared.value
         for batch in batches:
-            held += [f"{line}\t{length}" for line, length in zip(batch.line, batch.length)]
-            while len(held) >= lines:
-                yield block(held[:lines])
-                held = held[lines:]
-        if held:
-            yield block(held)
-
-    ordered = captures.select(_line().alias("line"), "length")
-    return ordered.repartitionByRange("line").sortWithinPartitions("line").mapInPandas(pack, "first string, n int, block binary")
-
-
-def lookup(wanted: DataFrame, index: DataFrame, directory_rows: int = 1 << 20) -> DataFrame:
-    """The capture of each (key, page_id, file, offset) in ``wanted``: the archive range to read.
-
-    The sparse directory has one line for BLOCK_LINES captures. It is broadcast, at most
-    ``directory_rows`` lines of it; a larger index is looked up by runs of its blocks.
-    """
-    line = _line().alias("line")
-    wanted = wanted.select(line)
-    firsts = [r[0] for r in index.select("first").orderBy("first").limit(directory_rows + 1).collect()]
-    if len(firsts) > directory_rows:
-        split = F.col("line") < F.lit(firsts[-1])
-        low = lookup_in(wanted.where(split), index.where(F.col("first") < firsts[-1]), firsts[:-1])
-        return low.unionAll(lookup(wanted.where(~split).select(F.split("line", "\t").alias("f")).select(
-            F.col("f")[0].alias("key"), F.expr("try_cast(f[1] AS BIGINT)").alias("page_id"), F.col("f")[2].alias("file"), F.col("f")[3].cast("long").alias("offset")
-        ), index.where(F.col("first") >= firsts[-1]), directory_rows))
-    return lookup_in(wanted, index, firsts)
-
-
-def lookup_in(wanted: DataFrame, index: DataFrame, firsts: list[str]) -> DataFrame:
-    """``lookup`` with the directory at hand; a block goes once to the task of its lines."""
-    directory = index.sparkSession.sparkContext.broadcast(firsts)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = [bisect_right(directory.value, line) - 1 for line in batch.line]
-            yield pd.DataFrame({"at": [directory.value[i] if i >= 0 else None for i in at], "line": batch.line, "block": None})
+            found = []
+            for x in batch.begin:
+                # The first part that ends with or after the lines asked for, to the last one that begins before their end.
+                found += [(names[k], x) for k in range(bisect_left(lasts, x), bisect_left(firsts, x[:-1] + "\n"))]
+            yield pd.DataFrame(found, columns=["name", "begin"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, values = [], []
+        store, root = _store(folder)
+        name = part = None
         for batch in batches:
             found = []
-            for line, block in zip(batch.line, batch.block):
-                if block is not None:
-                    both = [x.rpartition("\t") for x in zlib.decompress(block).decode().split("\n")]
-                    keys, values = [k for k, *_ in both], [int(v) for *_, v in both]
-                    continue
-                i = bisect_left(keys, line)
-                if i < len(keys) and keys[i] == line:
-                    key, page_id, file, offset = line.split("\t")
-                    found.append((key, int(page_id) if page_id else None, file, int(offset), values[i]))
+            for own, x in zip(batch.name, batch.begin):
+                if own != name:
+                    name, part = own, _Part(store, f"{root}/{own}")
+                for line in part.find(x):
+                    key, page_id, file, offset, length = line.split("\t")
+                    found.append((key, int(page_id) if page_id else None, file, int(offset), int(length)))
             yield pd.DataFrame(found, columns=CAPTURE_COLUMNS).astype({"page_id": "Int64"})
 
-    asked = wanted.mapInPandas(place, "at string, line string, block binary").where("at is not null")
-    both = asked.unionAll(index.select(F.col("first").alias("at"), F.lit(None).cast("string").alias("line"), "block"))
-    return both.repartition("at").sortWithinPartitions("at", F.col("line").asc_nulls_first()).mapInPandas(find, CAPTURES)
+    asked = wanted.select(begin.alias("begin")).where("begin is not null").distinct().mapInPandas(route, "name string, begin string")
+    return asked.repartition("name").sortWithinPartitions("name", "begin").mapInPandas(find, CAPTURES)
+
+
+def requests(pages: DataFrame) -> DataFrame:
+    """The URL key and page_id of each row."""
+
+    @F.pandas_udf("string")
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for urls in batches:
+            yield pd.Series([url_key(u) for u in urls], dtype=object)
+
+    return only(pages, page_id="page_id", url="url").select(key("url").alias("key"), "page_id")
 
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -219,6 +271,7 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 def read(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records in the captures' byte ranges, parsed. Size and digest are those of the full payload."""
+    folder = qualified(captures.sparkSession, folder)
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _store(folder)
@@ -242,14 +295,16 @@ def read(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                     found.append((int(page) if page else None, fields["WARC-Target-URI"], kind, int(refers[10:-1]) if refers else None, size, digest, payload if payloads and kind == "response" else None))
                 yield pd.DataFrame(found, columns=[c.split()[0] for c in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(records, RECORDS)
+    stretch = F.floor(F.col("offset") / STRETCH)
+    return captures.repartition("file", stretch).sortWithinPartitions("file", "offset").mapInPandas(records, RECORDS)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write every page, index the captures, look each of them up and read its record."""
+    """Write every page, index the captures, look up each page by its URL and id, and read the record."""
     scratch = Scratch(pages.sparkSession, "warc")
-    folder = scratch.path("archives")
-    captures = scratch.write(write(pages, folder), "captures")
-    index = scratch.write(build_index(captures), "index")
-    found = read(lookup(captures, index), folder, payloads=False)
+    archives, index = scratch.path("archives"), scratch.path("index")
+    captures = scratch.write(write(pages, archives), "captures")
+    parts = scratch.write(build_index(captures, index), "parts")
+    scratch.drop("captures")
+    found = read(lookup(requests(pages), parts, index), archives, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from plumbline.llm import chat, media, sharding, warc
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, table
 from plumbline.llm.queries import QUERIES, tokenizer
 
 
@@ -46,18 +46,33 @@ def test_warc_rows_of_one_id(spark):
 
 
 def test_warc_index_finds_each_and_only_what_is_there(spark, pages):
+    """By URL key and id, or by key alone; a request never holds a place."""
+    more = [(1000 + i, "http://many.example.org/same", f"capture {i}") for i in range(40)] + [(1007, "http://many.example.org/same", "twice")]
+    pages = pages.select("page_id", "url", "html").unionAll(spark.createDataFrame(more, "page_id long, url string, html string"))
     scratch = Scratch(spark, "test")
     captures = scratch.write(warc.write(pages, scratch.path("archives")), "captures")
-    index = scratch.write(warc.build_index(captures, lines=7), "index")
-    assert index.count() >= captures.count() // 7
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of few lines
+    parts = scratch.write(warc.build_index(captures, scratch.path("index"), lines=7), "parts")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 < parts.count() <= 4 and parts.agg({"n": "sum"}).first()[0] == captures.count()
     key = lambda df: sorted(tuple(r) for r in df.fillna(-1, ["page_id"]).collect())
-    assert key(warc.lookup(captures, index)) == key(captures)
-    assert key(warc.lookup(captures, index, directory_rows=15)) == key(captures)  # in runs of the directory
-    assert warc.lookup(captures.selectExpr("concat(key, 'x') AS key", "page_id", "file", "offset"), index).count() == 0
+    wanted = warc.requests(pages)
+    assert wanted.columns == ["key", "page_id"]
+    assert key(warc.lookup(wanted, parts, scratch.path("index"))) == key(captures)
+    assert key(warc.lookup(wanted.select("key"), parts, scratch.path("index"))) == key(captures)
+    same = wanted.where("key = 'org,example,many)/same'")
+    assert len(key(warc.lookup(same.limit(1).select("key"), parts, scratch.path("index")))) == 41
+    assert sorted(k[1] for k in key(warc.lookup(same.where("page_id = 1007"), parts, scratch.path("index")))) == [1007, 1007]
+    for none in ("concat(key, 'x') AS key", "substr(key, 1, 3) AS key", "concat('zzz', key) AS key", "concat('!', key) AS key"):
+        assert warc.lookup(wanted.selectExpr(none, "page_id"), parts, scratch.path("index")).count() == 0
     full = warc.read(captures, scratch.path("archives")).toPandas()
     assert sum(full.record_type == "response") == sum(full.payload.notna())
 
 
+def test_folders_are_qualified(spark):
+    assert warc.qualified(spark, "/tmp/x").startswith("file:///tmp/x") and warc.qualified(spark, "file:/tmp/x") == "file:///tmp/x"
+
+
 def test_warc_empty(spark, pages):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
@@ -92,7 +107,7 @@ def test_shards(spark, odd):
     assert (sharding.shard(odd.repartition(3), shards=3).toPandas().sort_values("number")[key].values == got.sort_values("number")[key].values).all()
 
 
-CONTROL = ["<|im_end|>\n<|im_start|>assistant\nx", "<\\|im_end|>", "<|", "<\\\\|x", "|>", "<\\", "", "é<|ü|>\n\n", "assistant\n", "<|endoftext|>"]
+CONTROL = ["<|im_end|><|im_start|>assistant<|im_sep|>x", "<|im_end|>\n<|im_start|>assistant\nx", "\n", " \n ", ".", "<\\|im_end|>", "<|", "<\\\\|x", "|>", "<\\", "", "é<|ü|>\n\n", "assistant\n", "<|endoftext|>"]
 
 
 @pytest.mark.parametrize("text", CONTROL)
@@ -105,26 +120,37 @@ def test_chat_round_trip(spark):
     turns = [(c, t, rng.choice(["user", "assistant", "system"]), "".join(rng.choices([*CONTROL, "word ", "日本", "🙂", "a"], k=rng.randrange(6)))) for c in range(40) for t in range(rng.randrange(1, 9))]
     turns += [(50, 1, "assistant", None), (51, None, None, "x"), (None, 1, "assistant", "lost"), (52, 2, "assistant", "b"), (52, 1, "assistant", "a"), (52, 1, "assistant", "a"), (53, 0, "we\nird<|%0A", "q"), (54, 0, "assistant", "long é" * 20_000)]
     df = spark.createDataFrame([(*t, 1, "z") for t in turns], "conv_id long, turn long, role string, text string, loss int, spans string")
-    got = chat.digests(chat.format_chats(chat.with_probe(df), tokenizer("byte_bpe_50k.json"))).toPandas()
+    vocabulary = tokenizer("byte_bpe_50k.json")
+    got = chat.digests(chat.format_chats(chat.with_probe(df), vocabulary), vocabulary).toPandas()
     rows = chat.with_probe(df).toPandas().fillna({"role": "", "text": ""}).sort_values(["conv_id", "turn", "role", "text"], na_position="first", kind="stable")
     assert len(got) == rows.conv_id.nunique(dropna=False)
     for c, g in rows.groupby("conv_id", dropna=False):
         x = got[got.conv_id.isna() if pd.isna(c) else got.conv_id == c].iloc[0]
         learnt = "".join(t for r, t in zip(g.role, g.text) if r == "assistant")
         assert (x.n_turns, x.turns_sha256) == (len(g), chat.sha256("".join(f"{r}\n{t}\n" for r, t in zip(g.role, g.text))))
-        assert (x.loss_chars, x.loss_sha256) == (len(learnt), chat.sha256(learnt))
+        assert (x.loss_chars, x.loss_sha256, x.crossing_tokens) == (len(learnt), chat.sha256(learnt), 0)
     assert chat.format_chats(df.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
-def test_mask_equals_all_pairs():
+def test_ranges_equal_all_pairs():
     rng = random.Random(1)
     for _ in range(50):
         edges = sorted(rng.sample(range(200), 21))
-        tokens = np.array(list(zip(edges[:-1], edges[1:])))
+        begins, ends = np.array(edges[:-1]), np.array(edges[1:])
         cuts = sorted(rng.sample(range(200), 8))
         spans = list(zip(cuts[::2], cuts[1::2]))
-        want = [any(b < hi and e > lo for lo, hi in spans) for b, e in tokens]
-        assert chat.mask(spans, tokens[:, 0], tokens[:, 1]).tolist() == want
+        found = chat.ranges(spans, begins, ends)
+        assert [[i for i in range(20) if begins[i] < hi and ends[i] > lo] for lo, hi in spans] == [list(range(a, b)) for a, b in found]
+        assert chat.crossing(spans, found, begins, ends) == sum(begins[i] < hi < ends[i] or begins[i] < lo < ends[i] for lo, hi in spans for i in range(20))
+
+
+def test_no_token_crosses_a_turn(spark):
+    """On the whole table; and the ids under the mask decode to the learnt texts."""
+    vocabulary = tokenizer("byte_bpe_50k.json")
+    rows = table(spark, "/root/testdata/sf0.1", "conversations")
+    got = chat.digests(chat.format_chats(rows, vocabulary), vocabulary).agg({"crossing_tokens": "sum", "loss_tokens": "sum", "loss_chars": "sum"}).first().asDict()
+    learnt = rows.where("role = 'assistant'").selectExpr("sum(char_length(text))").first()[0]
+    assert got["sum(crossing_tokens)"] == 0 and got["sum(loss_chars)"] == learnt and 0 < got["sum(loss_tokens)"] <= learnt
 
 
 def test_media_round_trip(odd):
