@@ -63,7 +63,7 @@ def test_warc_index_finds_each_and_only_what_is_there(spark, pages):
     same = wanted.where("key = 'org,example,many)/same'")
     assert len(key(warc.lookup(same.limit(1).select("key"), parts, scratch.path("index")))) == 41
     assert sorted(k[1] for k in key(warc.lookup(same.where("page_id = 1007"), parts, scratch.path("index")))) == [1007, 1007]
-    for none in ("concat(key, 'x') AS key", "substr(key, 1, 3) AS key", "concat('zzz', key) AS key", "concat('!', key) AS key"):
+    for none in ("concat(key, 'x') AS key", "substr(key, 1, 1) AS key", "concat('zzz', key) AS key", "concat('!', key) AS key"):
         assert warc.lookup(wanted.selectExpr(none, "page_id"), parts, scratch.path("index")).count() == 0
     full = warc.read(captures, scratch.path("archives")).toPandas()
     assert sum(full.record_type == "response") == sum(full.payload.notna())
