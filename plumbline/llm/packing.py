@@ -1,14 +1,16 @@
 """Operator 9. Packing: lexical retrieval over a sharded BM25 inverted index.
 
 A document is its token ids and one end id. Documents longer than a window fill
-whole windows of their own; what is left of each, and every shorter document,
-is an item. Items are dealt by content into shards of about ``SHARD`` documents: a tree
-of splits at medians, learnt on a sample of items' projected BM25 vectors, sends items with like
-words to one shard, however many shards there are. Each shard has an inverted index of its items'
+whole windows of their own, without any shuffle; what is left of each, and every shorter document,
+is an item of less than a window. Items are dealt by content into shards of about ``SHARD`` items: a tree
+of splits at medians, learnt on a sample of items' projected BM25 vectors, has a leaf for each shard, ``LEAVES`` at most.
+Items are sorted by leaf over all partitions; a task reads them in this order and cuts them into shards, at the
+ends of leaves where it can. So a task holds one shard, in however large a leaf, and equal items are parted by a salt.
+Each shard has an inverted index of its items'
 token ids with BM25 impacts; document frequencies and the mean length are those of the whole
 corpus. The first unused item is a seed: its unused neighbours, best score first,
 fill its window, and the one that doesn't fit is cut there. Its rest stays an
-unused item. So only the last window of a shard is padded.
+unused item. What doesn't fill a shard's last window goes on to the next shard, so one window of a partition is padded.
 
 Edge cases: a null or empty text is the end id alone; equal rows are packed each
 for itself; a null doc_id goes to a shard like any other; an empty table gives no
@@ -31,10 +33,12 @@ from .common import Scratch, mix64, only
 
 WINDOW = 4096
 END = 2
-#: Documents of a shard, on average; what a task holds at once.
-SHARD = 1024
-#: Dimensions of projected items, sampled items a shard and at least, and the jitter that parts equal items.
-DIMENSIONS, SAMPLE, LEAST_SAMPLE, JITTER = 128, 16, 8192, 1e-3
+#: Items of a shard, on average; what a task holds at once. Leaves of the tree, at most, which bounds what the driver learns from.
+SHARD, LEAVES = 1024, 4096
+#: Dimensions of projected items, sampled items a leaf and at least, and the jitter that parts equal items.
+DIMENSIONS, SAMPLE, LEAST_SAMPLE, JITTER = 64, 16, 8192, 1e-3
+#: Items that are looked at together.
+TOGETHER = 256
 K1, B = 1.2, 0.75
 #: Of the idf in a projection; of the projection's signs.
 POWER, SEED = 1.5, 20240616
@@ -143,15 +147,25 @@ def slices(column: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
         begin = end
 
 
+def counted(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids of each item: the item's place, the id, how often it has it; by item, then by id. At most 2^16 items."""
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    flat = np.concatenate([*items, np.empty(0, np.uint16)]).astype(np.uint32)
+    keys = np.sort(np.repeat(np.arange(len(items), dtype=np.uint32) << 16, size) | flat)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1)) if len(keys) else np.empty(0, np.int64)
+    return (keys[first] >> 16).astype(np.int64), (keys[first] & 0xFFFF).astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
 def statistics(encoded: DataFrame) -> tuple[int, float, np.ndarray]:
     """Documents, mean length and document frequencies over the whole corpus; a row for each id of the vocabulary at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, tokens, n = np.zeros(VOCABULARY, np.int64), 0, 0
         for rows in batches:
-            for ids in rows.ids:
-                n, tokens = n + 1, tokens + len(ids) // 2
-                df[np.unique(np.frombuffer(ids, np.uint16))] += 1
+            for i in range(0, len(rows), TOGETHER):
+                ids = [np.frombuffer(x, np.uint16) for x in rows.ids.iloc[i : i + TOGETHER]]
+                n, tokens = n + len(ids), tokens + sum(map(len, ids))
+                df += np.bincount(counted(ids)[1], minlength=VOCABULARY)
         used = np.flatnonzero(df)
         yield pd.DataFrame({"token": np.append(used, [-1, -2]), "n": np.append(df[used], [n, tokens])})
 
@@ -167,37 +181,29 @@ class Index:
     """An inverted index of items with the BM25 impact of each posting."""
 
     def __init__(self, items: list[np.ndarray], n: int, mean: float, df: np.ndarray):
-        terms, docs, impacts = [], [], []
-        for i, ids in enumerate(items):
-            term, tf = np.unique(ids, return_counts=True)
-            idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-            terms.append(term)
-            docs.append(np.full(len(term), i, np.int32))
-            impacts.append((idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / max(mean, 1)))).astype(np.float32))
-        self.terms = terms
-        every = np.concatenate(terms)
-        order = np.argsort(every, kind="stable")
-        self.docs, self.impacts = np.concatenate(docs)[order], np.concatenate(impacts)[order]
-        self.start = np.searchsorted(every[order], np.arange(VOCABULARY + 1))
+        item, term, tf = counted(items)
+        size = np.fromiter(map(len, items), np.int64, len(items))
+        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
+        impacts = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(mean, 1)))).astype(np.float32)
+        edges = np.searchsorted(item, np.arange(len(items) + 1))
+        self.terms = [term[a:b] for a, b in zip(edges, edges[1:])]
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.docs, self.impacts = item[order], impacts[order]
+        self.start = np.append(0, np.cumsum(np.bincount(term, minlength=VOCABULARY)))
         self.n = len(items)
 
     def scores(self, i: int) -> np.ndarray:
         """Of all items, for item i as the query."""
-        first, size = self.start[self.terms[i]], self.start[self.terms[i].astype(np.int64) + 1] - self.start[self.terms[i]]
+        first, size = self.start[self.terms[i]], self.start[self.terms[i] + 1] - self.start[self.terms[i]]
         ends = np.cumsum(size)
         at = np.repeat(first - ends + size, size) + np.arange(int(ends[-1]))
         return np.bincount(self.docs[at], self.impacts[at], self.n)
 
 
 def windows(lengths: list[int], items: list[np.ndarray], n: int, mean: float, df: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows of pieces (document, start, length). lengths: of whole documents; items: the ids that index each one's rest."""
-    rest = []
-    for d, length in enumerate(lengths):
-        for start in range(0, length - WINDOW + 1, WINDOW):
-            yield [(d, start, WINDOW)]
-        rest.append((length - length % WINDOW, length % WINDOW))
-    start, left = (np.array(x, np.int64) for x in zip(*rest))
-    index, seed = Index(items, n, mean, df), 0
+    """Windows of pieces (item, start, length). lengths: of the items; items: the ids that index them."""
+    left = np.array(lengths, np.int64)
+    start, index, seed = np.zeros_like(left), Index(items, n, mean, df), 0
     while True:
         while seed < len(left) and not left[seed]:
             seed += 1
@@ -226,9 +232,11 @@ class Projection:
 
     def __call__(self, items: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(items), DIMENSIONS), np.float32)
-        for i, ids in enumerate(items):
-            if len(ids):
-                out[i] = self.words[np.unique(ids)].sum(axis=0)
+        for i in range(0, len(items), TOGETHER):
+            item, term, _ = counted(items[i : i + TOGETHER])
+            if len(item):
+                first = np.flatnonzero(np.diff(item, prepend=-1))
+                out[i + item[first]] = np.add.reduceat(self.words[term], first)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -281,9 +289,17 @@ def rest_of(ids: bytes) -> np.ndarray:
     return x[len(x) - len(x) % WINDOW :]
 
 
-def deal(encoded: DataFrame, shards: int, n: int, df: np.ndarray, spark: SparkSession) -> DataFrame:
-    """doc_id, ids and shard; each shard gets about as many rows, near ones together."""
-    salted = encoded.withColumn("salt", F.xxhash64("doc_id", F.crc32("ids")))
+def crc_of(ids: np.ndarray) -> int:
+    return crc32(ids.astype("<u4").tobytes())
+
+
+ITEMS = "doc_id long, doc_tokens long, windows array<long>, ids binary, leaf int, code float, salt long"
+
+
+def deal(encoded: DataFrame, leaves: int, n: int, df: np.ndarray, spark: SparkSession) -> DataFrame:
+    """Of each document: the checksums of its whole windows, the ids of its rest, and that item's place: leaf, code, salt; near ones are
+    near in this order, and each leaf gets about as many."""
+    salted = encoded.withColumn("salt", F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()))  # equal rows have different ones
     every = spark.sparkContext.broadcast(df)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,20 +308,46 @@ def deal(encoded: DataFrame, shards: int, n: int, df: np.ndarray, spark: SparkSe
             vectors = projection([rest_of(x) for x in batch.column("ids").to_pylist()]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("salt"), pa.array([v.tobytes() for v in vectors], pa.binary())], ["salt", "vector"])
 
-    most = max(LEAST_SAMPLE, SAMPLE * shards)
-    sample = salted.where(F.pmod("salt", F.lit(max(1, n // most))) == 0).mapInArrow(project, "salt long, vector binary")
-    rows = sample.dropDuplicates(["salt"]).toPandas().sort_values("salt")
-    vectors = np.frombuffer(b"".join(rows.vector), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    tree = spark.sparkContext.broadcast(Tree(vectors, rows.salt.to_numpy(np.int64), shards))
+    if leaves > 1:
+        most = max(LEAST_SAMPLE, SAMPLE * leaves)
+        rows = salted.where(F.pmod("salt", F.lit(max(1, n // most))) == 0).mapInArrow(project, "salt long, vector binary").toPandas().sort_values("salt")
+        vectors = np.frombuffer(b"".join(rows.vector), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+        tree = Tree(vectors, rows.salt.to_numpy(np.int64), leaves)
+    else:
+        tree = Tree(np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.int64), 1)
+    tree = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection = Projection(n, every.value)
-        for batch in batches:
-            vectors = projection([rest_of(x) for x in batch.column("ids").to_pylist()])
-            shard = tree.value(vectors, batch.column("salt").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(shard, pa.int64())], ["doc_id", "ids", "shard"])
-
-    return salted.mapInArrow(place, "doc_id long, ids binary, shard long")
+        for whole in batches:
+            for i in range(0, len(whole), 4 * TOGETHER):
+                batch = whole.slice(i, 4 * TOGETHER)
+                ids = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
+                rest = [x[len(x) - len(x) % WINDOW :] for x in ids]
+                vectors = projection(rest)
+                leaf = tree.value(vectors, batch.column("salt").to_numpy()).astype(np.int32)
+                full = [[crc_of(x[a : a + WINDOW]) for a in range(0, len(x) - WINDOW + 1, WINDOW)] for x in ids]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array([x.tobytes() for x in rest], pa.binary()),
+                    pa.array(leaf), pa.array(vectors[:, 0]), batch.column("salt"),
+                ], [c.split()[0] for c in ITEMS.split(", ")])
+
+    return salted.mapInArrow(place, ITEMS)
+
+
+def shards_of(batches: Iterator[pd.DataFrame], shard: int) -> Iterator[tuple[list, bool]]:
+    """Rows (doc_id, doc_tokens, start, ids) of a partition, cut where a leaf ends and half a shard is there, or where there are two;
+    and whether more rows come."""
+    held, last = [], None
+    for rows in batches:
+        for doc_id, tokens, ids, leaf in zip(rows.doc_id, rows.doc_tokens, rows.ids, rows.leaf):
+            if len(held) >= 2 * shard or leaf != last and 2 * len(held) >= shard:
+                yield held, True
+                held = []
+            last = leaf
+            x = np.frombuffer(ids, np.uint16)
+            held.append((doc_id, tokens, tokens - len(x), x))
+    yield held, False
 
 
 def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
@@ -324,18 +366,32 @@ def pack(docs: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
     encoded = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
     n, mean, df = statistics(encoded)
     corpus = docs.sparkSession.sparkContext.broadcast((n, mean, df))  # a number for each id of the vocabulary
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
-        ids = [np.frombuffer(x, np.uint16) for x in rows.ids]
-        base, found = int(rows.shard.iloc[0]) << 32, []
-        for k, window in enumerate(windows([len(x) for x in ids], [x[len(x) - len(x) % WINDOW :] if len(x) % WINDOW else x[:0] for x in ids], *corpus.value)):
-            offset = 0
-            for d, start, length in window:
-                found.append((rows.doc_id.iloc[d], start, length, crc32(ids[d][start : start + length].astype("<u4").tobytes()), len(ids[d]), base + k, offset))
-                offset += length
-        return pd.DataFrame(found, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
-
-    shards = max(1, -(-n // shard))
-    dealt = deal(encoded, shards, n, df, scratch.spark) if shards > 1 else encoded.withColumn("shard", F.lit(0).cast("long"))
-    return dealt.groupBy("shard").applyInPandas(fill, PIECES)
+    items = scratch.write(deal(encoded, max(1, min(LEAVES, -(-n // shard))), n, df, scratch.spark), "items")
+    scratch.drop("encoded")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        base, over = TaskContext.get().partitionId() << 44, []
+        for k, (rows, more) in enumerate(shards_of(batches, shard)):
+            rows, found, over = over + rows, [], []
+            if not rows:
+                continue
+            for w, window in enumerate(windows([len(x) for *_, x in rows], [x for *_, x in rows], *corpus.value)):
+                if more and sum(size for *_, size in window) < WINDOW:
+                    over = [(*rows[d][:2], rows[d][2] + start, rows[d][3][start : start + size]) for d, start, size in window]
+                    break
+                offset = 0
+                for d, start, size in window:
+                    doc_id, tokens, first, x = rows[d]
+                    found.append((doc_id, first + start, size, crc_of(x[start : start + size]), tokens, base + (k << 20) + w, offset))
+                    offset += size
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+
+    order = ["leaf", "code", "salt"]
+    rest = items.where("octet_length(ids) > 0").select("doc_id", "doc_tokens", "ids", *order)
+    rest = rest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(fill, PIECES)
+    full = items.where("size(windows) > 0").select("doc_id", "doc_tokens", F.posexplode("windows").alias("k", "crc"))
+    number = F.monotonically_increasing_id() + F.lit(1 << 62)  # beyond those of the shards
+    full = full.select("doc_id", (F.col("k") * WINDOW).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return rest.unionAll(full)
