@@ -27,13 +27,15 @@ gives no rows; extra columns are ignored. A page must fit a task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,7 +275,7 @@ def extracted(found: list[tuple[str, int, int]], cover: np.ndarray, shares: dict
     return "\n".join(kept), *gone
 
 
-PARSED = "page_id long, url string, host string, texts array<string>, marks array<int>, places array<int>, tokens long"
+PARSED = "page_id long, url string, host string, page long, texts array<string>, marks array<int>, places array<int>, body binary, tokens long"
 PAGES = "page_id long, url string, text string, n_chars long, repeat_chars long, marked_chars long"
 
 
@@ -281,14 +283,40 @@ def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def folded(found: list[tuple[str, int, int]]) -> tuple[list[tuple[str, int, int]], str]:
+    """The blocks with each stretch of an article's as one, which has no text and the number of its lines in place of a place;
+    and the text of these lines. Nothing looks into it again, so it travels compressed."""
+    out, lines = [], []
+    for mark, own in groupby(found, key=lambda b: b[1]):
+        own = list(own)
+        if mark == ARTICLE:
+            out.append(("", ARTICLE, len(own)))
+            lines += [t for t, *_ in own]
+        else:
+            out += own
+    return out, "\n".join(lines)
+
+
+def unfolded(found: Iterable[tuple[str, int, int]], body: str) -> Iterator[tuple[str, int, int]]:
+    """The blocks again, each stretch of an article's as one."""
+    lines, at = body.split("\n"), 0
+    for text, mark, place in found:
+        if mark == ARTICLE:
+            text, at = "\n".join(lines[at : at + place]), at + place
+        yield text, mark, place
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    compress = zstandard.ZstdCompressor()
     for rows in batches:
-        for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 256)):
+        for part in np.array_split(np.arange(len(rows)), -(-len(rows) // 256)) if len(rows) else ():
             some = rows.iloc[part]
             found = [blocks(h) for h in some.html]
+            page = np.array([xxhash.xxh3_64_intdigest("\n".join(t for t, *_ in f)) for f in found], np.uint64).view(np.int64)
+            found, bodies = zip(*map(folded, found))
             yield pd.DataFrame({
-                "page_id": some.page_id.astype("Int64"), "url": some.url, "host": some.host, "texts": [[t for t, *_ in f] for f in found], "marks": [[m for _, m, _ in f] for f in found],
-                "places": [[p for *_, p in f] for f in found], "tokens": [sum(t.count(" ") + 1 for t, m, _ in f if m != ARTICLE) for f in found],
+                "page_id": some.page_id.astype("Int64"), "url": some.url, "host": some.host, "page": page, "texts": [[t for t, *_ in f] for f in found], "marks": [[m for _, m, _ in f] for f in found],
+                "places": [[p for *_, p in f] for f in found], "body": [compress.compress(b.encode()) for b in bodies], "tokens": [sum(t.count(" ") + 1 for t, m, _ in f if m != ARTICLE) for f in found],
             })
 
 
@@ -333,7 +361,8 @@ def _extract(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({c: [] for c in _columns(PAGES)})
     keys, places = told[told.share.isna()], told[told.share.notna()]
     shares = dict(zip(places.key.tolist(), places.share.tolist()))
-    found = [list(zip(t, m, p)) for t, m, p in zip(rows.texts, rows.marks, rows.places)]
+    expand = zstandard.ZstdDecompressor()
+    found = [list(unfolded(zip(t, m, p), expand.decompress(b).decode() if b else "")) for t, m, p, b in zip(rows.texts, rows.marks, rows.places, rows.body)]
     cover = _covers(rows, keys.key.to_numpy(np.int64), [[t for t, m, _ in f if m != ARTICLE] for f in found])
     out = [extracted(f, c, shares) for f, c in zip(found, cover)]
     return pd.DataFrame({
@@ -350,7 +379,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = only(pages, page_id="page_id", url="url", html="html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     scratch = Scratch(pages.sparkSession, "html")
-    parsed = pages.withColumn("host", host).mapInPandas(_parse, PARSED).withColumn("page", F.xxhash64("texts")).withColumn("salt", F.monotonically_increasing_id())
+    parsed = pages.withColumn("host", host).mapInPandas(_parse, PARSED).withColumn("salt", F.monotonically_increasing_id())
     parsed = scratch.write(parsed, "parsed")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(F.sum("tokens") / GROUP_TOKENS)).cast("int").alias("parts")
     large = parsed.groupBy("host").agg(parts).where("parts > 1")
@@ -370,4 +399,4 @@ def extract(pages: DataFrame) -> DataFrame:
     places = scratch.write(tally.groupBy("host", "place").agg(share).where(F.col("share") >= TEMPLATE), "places")
     groups = dealt.select("group", "host").distinct()
     told = keys.select("group", "key", F.lit(None).cast("double").alias("share")).unionAll(groups.join(places, "host").select("group", F.col("place").alias("key"), "share"))
-    return dealt.select("group", "page_id", "url", "host", "texts", "marks", "places").groupBy("group").cogroup(told.groupBy("group")).applyInPandas(_extract, PAGES)
+    return dealt.select("group", "page_id", "url", "host", "texts", "marks", "places", "body").groupBy("group").cogroup(told.groupBy("group")).applyInPandas(_extract, PAGES)

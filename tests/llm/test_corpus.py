@@ -248,6 +248,25 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_a_large_leaf_and_equal_rows(spark, monkeypatch):
+    """Half of the rows are one row; a leaf beyond a shard is cut, and no task holds more than two shards."""
+    monkeypatch.setattr(packing, "LEAVES", 2)
+    rows = [(7, "the same words in each row of these")] * 300 + [(i, f"own words {i} " * (i % 9)) for i in range(300)] + [(1000, "long text " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, full = check_packing(df, 16)
+    assert got.sequence_id.nunique() - full <= 4
+    table = pd.DataFrame({"doc_id": 1, "doc_tokens": 2, "ids": [b"ab"] * 100, "leaf": [0] * 70 + [1] * 30})
+    assert [(len(x), more) for x, more in packing.shards_of(iter([table[:50], table[50:]]), 16)] == [(32, True), (32, True), (6 + 26, True), (4, False)]
+
+
+def test_counted_equals_unique():
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, 50, k).astype(np.uint16) for k in (5, 0, 80, 1, 0)]
+    item, term, tf = packing.counted(items)
+    want = [(i, t, k) for i, x in enumerate(items) for t, k in zip(*np.unique(x, return_counts=True))]
+    assert list(zip(item, term, tf)) == want and [len(x) for x in packing.counted([])] == [0, 0, 0]
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -285,9 +304,9 @@ def test_near_documents_share_a_shard(spark):
         base = rng.sample(vocabulary, 80)
         rows += [(f + 120 * c, " ".join(w if rng.random() > 0.1 else rng.choice(vocabulary) for w in base)) for c in range(8)]
     got, _ = check_packing(spark.createDataFrame(rows, "doc_id long, text string"), 64)
-    shard = dict(zip(got.doc_id, got.sequence_id // (1 << 32)))
+    shard = dict(zip(got.doc_id, got.sequence_id // (1 << 20)))
     met = np.mean([shard[f] == shard[f + 120 * c] for f in range(120) for c in range(1, 8)])
-    assert len(set(shard.values())) == 15 and met > 0.5
+    assert 10 <= len(set(shard.values())) <= 20 and met > 0.5
 
 
 def test_equal_items_part():
@@ -330,6 +349,7 @@ def test_repeats_equal_brute_force():
 
 def extract_one(html):
     found = html_text.blocks(html)
+    assert "\n".join(t for t, *_ in html_text.unfolded(*html_text.folded(found))) == "\n".join(t for t, *_ in found)
     return html_text.extracted(found, np.zeros(sum(t.count(" ") + 1 for t, *_ in found), bool), {})[0]
 
 
