@@ -4,9 +4,10 @@ Benchmark items and documents are sequences of words (lower case, signs at their
 ends taken off). An item is found in a document where some run of its words is within
 ``EDITS`` word edits per word of the item.
 
-Windows as long as an item are taken wherever a document shares a run of three
-words with it, at the alignment of that run. That loses nothing: k edits of n words
-leave a run of three whole while 3k < n - 2, to which k is held. Each window is
+Windows as long as an item are taken wherever a document shares a run of words with it, of two or three by the item's
+length, at the alignment of that run. That loses nothing: k edits of n words leave n - k words in at most k + 1 pieces, so one
+of ceil((n - k) / (k + 1)) words stays whole. (Embedding every window of every item length instead costs some
+microseconds a window and length; see the README.) Each window is
 embedded by CGK random walks: at step j the walk writes the word it stands on, and a
 random bit of (j, word) says whether it moves on; sequences at a small edit distance
 then agree at most steps. Sampled steps of the embedding are the keys of
@@ -18,7 +19,7 @@ than are found so far: k edits of n words leave n - k of them, so nothing is los
 The items' tables are broadcast for at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words at a
 time; a larger benchmark is a query set that runs against all documents in blocks.
 
-Edge cases: a null or empty text or item matches nothing; items of one or two words
+Edge cases: a null or empty text or item matches nothing; items of up to three words
 need an exact match; equal items are each reported; repeated documents give a row each;
 null ids stay null; empty tables give no rows; extra columns are ignored.
 """
@@ -44,7 +45,8 @@ TABLES = WALKS * SAMPLES
 #: A walk writes so many words for each word of the item.
 STRETCH = 2
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
-CACHE = 500_000
+#: Shared runs that are looked at together, and words whose numbers a task keeps.
+MEETINGS, CACHE = 1 << 20, 500_000
 SEED = np.uint64(0x5DEECE66D)
 _SIGNS = b"".join(bytes([i]) for i in range(33, 127) if not chr(i).isalnum())
 
@@ -58,8 +60,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def most_edits(n: int) -> int:
-    """Edits that an item of n words may have; a run of three words stays whole."""
-    return max(0, min(int(EDITS * n), (n - 3) // 3))
+    """Edits that an item of n words may have."""
+    return int(EDITS * n)
+
+
+def seed_size(n: int) -> int:
+    """Words of a run that so many edits of n words leave whole; three are enough to seed by."""
+    k = most_edits(n)
+    return min(3, -(-(n - k) // (k + 1)))
 
 
 def embed(rows: np.ndarray, walk: int) -> np.ndarray:
@@ -102,12 +110,12 @@ def fitting_distance(item: np.ndarray, text: np.ndarray) -> int:
 
 @dataclass
 class Items:
-    """A block of items: their words as numbers, their runs of three, their hash tables."""
+    """A block of items: their words as numbers, their hash tables, and by size their seeds: (code, item, offset), and (code, length, offset)."""
 
     ids: list
     words: list[np.ndarray]
     number: dict[bytes, int]
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    grams: dict[int, tuple[tuple, tuple]]
     tables: dict[int, set]
 
     @classmethod
@@ -117,13 +125,16 @@ class Items:
         found, by_length = defaultdict(list), defaultdict(list)
         for k, (_, w) in enumerate(kept):
             by_length[len(w)].append(k)
-            size = min(3, len(w))
-            for o in range(len(w) - size + 1):
-                found[size].append((gram(w, size, len(number))[o], k, o))
+            size = seed_size(len(w))
+            codes = gram(w, size, len(number))
+            found[size].append(np.stack([codes, np.full(len(codes), k), np.arange(len(codes)), np.full(len(codes), len(w))]))
         grams = {}
         for size, rows in found.items():
-            code, item, offset = np.array(sorted(rows), np.int64).T
-            grams[size] = code, item, offset
+            code, item, offset, length = np.concatenate(rows, axis=1)
+            order = np.lexsort((offset, item, code))
+            # Items that share a run at one alignment and length share its windows.
+            windows = np.unique(np.stack([code, length, offset]), axis=1)
+            grams[size] = (code[order], item[order], offset[order]), tuple(windows)
         tables: dict[int, set] = {}
         for n, members in by_length.items():
             got = defaultdict(set)
@@ -144,6 +155,25 @@ def gram(words: np.ndarray, size: int, vocabulary: int) -> np.ndarray:
     return np.where(bad, -1, code)
 
 
+def expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from each first to before its last."""
+    size = last - first
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def met(at: np.ndarray, code: np.ndarray, every: np.ndarray, name: np.ndarray, offset: np.ndarray) -> Iterator[np.ndarray]:
+    """(name, start) for each place of a code in the text and in the sorted codes of the items; a bounded number at a time, each once."""
+    first, last = np.searchsorted(every, code, "left"), np.searchsorted(every, code, "right")
+    hit = np.flatnonzero(last > first)
+    total, begin = np.cumsum(last[hit] - first[hit]), 0
+    while begin < len(hit):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + MEETINGS)))
+        part = hit[begin:end]
+        k = expand(first[part], last[part])
+        yield np.unique(np.stack([name[k], np.repeat(at[part], last[part] - first[part]) - offset[k]], axis=1), axis=0)
+        begin = end
+
+
 class Finder:
     """Finds a block's items in texts; keeps the numbers of words."""
 
@@ -165,17 +195,36 @@ class Finder:
         got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         return got[got > -2]
 
-    def starts(self, text: np.ndarray) -> np.ndarray:
-        """(item, start) of the windows at shared runs, in this order."""
+    def seeds(self, text: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, tuple, tuple]]:
+        """By size: the places of the text's runs that items have, their codes, and the items' seeds."""
+        out = []
+        for size, (own, windows) in self.items.grams.items():
+            code = gram(text, size, len(self.items.number))
+            at = np.flatnonzero(code >= 0)
+            if len(at):
+                at = at[own[0][np.minimum(np.searchsorted(own[0], code[at]), len(own[0]) - 1)] == code[at]]
+                if len(at):
+                    out.append((at, code[at], own, windows))
+        return out
+
+    def windows(self, seeds: list) -> np.ndarray:
+        """(length, start) of the windows at shared runs, in this order."""
+        found = [got for at, code, _, (every, length, offset) in seeds for got in met(at, code, every, length, offset)]
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+    def starts(self, text: np.ndarray, seeds: list) -> np.ndarray:
+        """(item, start) of the windows at runs that a text shares with items whose words it holds, in this order."""
         found = []
-        for size, (code, item, offset) in self.items.grams.items():
-            own = gram(text, size, len(self.items.number))
-            at = np.flatnonzero(own >= 0)
-            first, last = np.searchsorted(code, own[at], "left"), np.searchsorted(code, own[at], "right")
-            hit = np.repeat(at, last - first)
-            if len(hit):
-                k = np.repeat(first, last - first) + np.arange(len(hit)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
-                found.append(np.stack([item[k], hit - offset[k]], axis=1))
+        for at, code, (every, item, offset), _ in seeds:
+            own = np.unique(code)
+            first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            items = np.unique(item[expand(first, last)])
+            items = items[self.most[items] > 0]
+            if not len(items):
+                continue
+            items = items[self.lengths[items] - self.shared(items, text) <= self.most[items]]
+            hopeful = np.isin(item, items)
+            found += met(at, code, every[hopeful], item[hopeful], offset[hopeful])
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
     def shared(self, items: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -191,11 +240,7 @@ class Finder:
     def rest(self, text: np.ndarray, start: np.ndarray, best: dict[int, int]) -> None:
         """Lowers ``best`` (edits by item) to the exact figures of all items with a shared run; start: rows of ``starts``."""
         items, begin = np.unique(start[:, 0], return_index=True)
-        most = self.most[items]
-        hopeful = np.flatnonzero(most > 0)
-        if not len(hopeful):
-            return
-        hopeful = hopeful[self.lengths[items[hopeful]] - self.shared(items[hopeful], text) <= most[hopeful]]
+        most, hopeful = self.most[items], np.arange(len(items))
         ends = np.append(begin[1:], len(start))
         for i in hopeful.tolist():
             k, m, n = int(items[i]), int(most[i]), int(self.lengths[items[i]])
@@ -210,8 +255,8 @@ class Finder:
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, item's words) of each item that a text holds."""
         numbers = [self.numbers(t) for t in texts]
-        starts = [self.starts(w) for w in numbers]
-        each = [np.unique(np.stack([self.lengths[s[:, 0]], s[:, 1]], axis=1), axis=0) for s in starts]
+        seeds = [self.seeds(w) for w in numbers]
+        each = [self.windows(x) for x in seeds]
         text = np.repeat(np.arange(len(texts)), [len(w) for w in each])
         window = np.concatenate(each) if each else np.empty((0, 2), np.int64)
         best: dict[tuple[int, int], int] = {}
@@ -232,8 +277,8 @@ class Finder:
                         d = fitting_distance(self.items.words[k], numbers[t][max(s - most, 0) : s + n + most])
                         if d <= most and d < best.get((t, k), most + 1):
                             best[t, k] = d
-        for t, start in enumerate(starts):
-            if len(start):
+        for t, held in enumerate(each):
+            if len(held) and len(start := self.starts(numbers[t], seeds[t])):
                 known = {k: d for k in np.unique(start[:, 0]).tolist() if (d := best.get((t, k))) is not None}
                 self.rest(numbers[t], start, known)
                 best.update(((t, k), d) for k, d in known.items())
@@ -271,5 +316,5 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns. Ids of found rows are few beside the texts."""
-    found = matches(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = matches(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, docs["doc_id"] == found["found_id"], "left_anti")

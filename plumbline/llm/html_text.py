@@ -46,7 +46,7 @@ LEAST_RUN, LEAST_PAGES = 5, 3
 #: Shares of a place's tokens from which on it is a part of the template, and nothing else.
 TEMPLATE, ALL_TEMPLATE = 0.4, 0.9
 #: Pages of a host that share a suffix array and their tokens outside articles, on average.
-GROUP_PAGES, GROUP_TOKENS = 64, 500_000
+GROUP_PAGES, GROUP_TOKENS = 128, 500_000
 #: Hosts with more than a group's pages that a broadcast may list.
 BROADCAST_HOSTS = 200_000
 #: Hashes of words that a task keeps.

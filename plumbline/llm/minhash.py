@@ -4,8 +4,8 @@ Texts with the same set of shingles are one node, named by a hash of the set;
 so copies never form pairs. Nodes that share a band of the signature are
 candidates. They are looked at in two rounds:
 
-1. In each bucket, all nodes are compared with the least one only. That joins
-   large groups of near copies with as many pairs as they have members.
+1. In each bucket, all nodes are compared with the least one and the greatest one only. That joins
+   large groups of near copies with as many pairs as they have members, or twice that.
 2. In buckets that still hold several components, all pairs of different ones are
    compared, in blocks of bounded size, inside the tasks. A task also verifies them,
    and leaves out pairs that its own links have joined meanwhile, so what leaves it are
@@ -45,7 +45,7 @@ HASHES = BANDS * ROWS
 #: Hashes that are compared at a time, and the chance of a link that pruning may miss.
 BATCH, MISS = 16, 1e-6
 #: Members of a bucket that meet in one task of the second round, from each side; pairs that are looked at together.
-BLOCK, PAIRS = 1024, 1 << 16
+BLOCK, PAIRS = 256, 1 << 16
 #: Partners that one task verifies with a text.
 PARTNERS = 64
 #: Copies of a text from which on its rows are split over SPLIT tasks, and how many such texts there can be.
@@ -189,14 +189,14 @@ class _Sets:
 
 
 def _links(rows: pd.DataFrame, edges: np.ndarray, sets: _Sets) -> pd.DataFrame:
-    """Pairs of one block at a time: of different components, met in no earlier band, without the bucket's least
-    node, which round 1 has seen; not ruled out, not joined meanwhile by another link, and verified."""
+    """Pairs of one block at a time: of different components, met in no earlier band, without the bucket's least and
+    greatest nodes, which round 1 has seen; not ruled out, not joined meanwhile by another link, and verified."""
     found: list[tuple[int, int]] = []
     if not len(rows):
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     sig, comp, node, band = _signatures(rows.sig), rows.comp.to_numpy(), rows.node.to_numpy(), rows.band.to_numpy()
     text = rows.text.to_numpy()
-    own, crossed, seen = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy(), (rows.node == rows.a).to_numpy()
+    own, crossed, seen = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy(), ((rows.node == rows.a) | (rows.node == rows.z)).to_numpy()
     root: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -312,12 +312,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.where("node is not null and doc_id is not null")
     nodes = scratch.write(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "nodes")
     bands = scratch.write(nodes.select("node", "sig").mapInPandas(_bands, "key long, band int, node long"), "bands")
-    shared = bands.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = scratch.write(bands.join(shared, "key"), "met")
     scratch.drop("bands")
     sigs = nodes.select("node", "sig")
 
-    first = scratch.write(met.where("node != a").select("a", F.col("node").alias("b")).distinct(), "first")
+    pivots = met.select(F.explode(F.array("a", "z")).alias("a"), F.col("node").alias("b")).where("a != b")
+    first = scratch.write(pivots.distinct(), "first")
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     texts = scratch.write(docs.join(wanted, "doc_id").select("node", "text").mapInPandas(_text_of, "node long, text string").dropDuplicates(["node"]), "texts")
 
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     rest = placed.join(mixed, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "node", "a", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rest = rest.select("key", "band", "node", "a", "z", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     dealt = rest.join(sigs, "node").join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = links.unionAll(scratch.write(dealt.mapInPandas(_blocks, "a long, b long"), "links2"))
     # Rows of one id are one document.
@@ -342,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionAll(known.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a != b"))
     comps = scratch.write(components(links, scratch, "all"), "final")
     for name in ("met", "first", "texts", "survivors1", "links1", "links2", "comps"):
-        scratch.drop(name)
+        scratch.drop(name)  # "signed", "nodes" and "final" are what the result is read from
 
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     found = nodes.select("node", "doc_id", "copies").join(comps.join(least, "comp").select("node", "least"), "node", "left")

@@ -87,6 +87,18 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     same_components(spark.createDataFrame(list(enumerate(family(60, 3, 14))), "doc_id long, text string"))
 
 
+def test_many_near_copies_of_two_components_in_one_bucket(spark):
+    """Two texts that share bands but aren't linked, each with 2,500 near copies."""
+    rng = random.Random(12)
+    lead = [f"w{rng.randrange(10**6)}" for _ in range(75)]
+    bases = [lead + [f"w{rng.randrange(10**6)}" for _ in range(25)] for _ in range(2)]
+    sets = [minhash.Shingler()(" ".join(b)) for b in bases]
+    assert (minhash.signature(sets[0]) == minhash.signature(sets[1])).reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any() and not minhash.similar(*sets)
+    rows = [(i, " ".join([*bases[i % 2][:-1], f"x{i}"])) for i in range(5000)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("component_id").count().collect()
+    assert {tuple(r) for r in got} == {(0, 2500), (1, 2500)}
+
+
 def test_large_groups_of_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", 5)
     texts = ["one text that has very many copies"] * 50 + family(10, 4, 5)
@@ -187,7 +199,23 @@ def test_cgk_keeps_near_sequences_near():
     assert near > 0.7 > 0.2 > far
 
 
-@pytest.mark.parametrize("n", [12, 40, 60, 120, 200])
+def test_edits_leave_a_seed():
+    """A run of the seed's size stays whole for any places of the most edits; they are in proportion at each length."""
+    for n in range(1, 300):
+        k, size = decontamination.most_edits(n), decontamination.seed_size(n)
+        assert k == int(0.3 * n) and 1 <= size <= 3 and (n - k) > (size - 1) * (k + 1)
+
+
+def test_a_very_long_text_and_a_phrase_of_many_items():
+    """A run that all items and most of the text share: bounded work, the right items."""
+    rng = random.Random(5)
+    items = ["one of the many " + " ".join(f"v{rng.randrange(500)}" for _ in range(9)) for _ in range(300)]
+    finder = decontamination.Finder(decontamination.Items.of(list(range(300)), items))
+    text = "one of the many " * 20_000 + items[17] + " one of the many" * 1000
+    assert [(t, k, d) for t, k, d, _ in finder.find([text, None, ""])] == [(0, 17, 0)]
+
+
+@pytest.mark.parametrize("n", [4, 5, 7, 8, 10, 11, 12, 14, 17, 20, 40, 60, 120, 200])
 def test_items_with_most_edits_are_found(n):
     """Every item at the most edits allowed, with the edit distance of brute force over all runs of the text."""
     rng = random.Random(n)
@@ -195,7 +223,8 @@ def test_items_with_most_edits_are_found(n):
     finder, texts = decontamination.Finder(decontamination.Items.of(list(range(30)), [" ".join(x) for x in items])), []
     for x in items:
         piece = list(x)
-        for at in rng.sample(range(n), decontamination.most_edits(n)):
+        k = decontamination.most_edits(n)  # for half of the items evenly spaced, which leaves the shortest runs
+        for at in rng.sample(range(n), k) if len(texts) % 2 else [(j + 1) * (n + 1) // (k + 1) - 1 for j in range(k)]:
             piece[at] = f"z{rng.randrange(3000)}"
         texts.append(" ".join([f"v{rng.randrange(3000)}" for _ in range(40)] + piece + [f"v{rng.randrange(3000)}" for _ in range(40)]))
     numbers, want = [finder.numbers(t) for t in texts], set()
