@@ -7,7 +7,7 @@ their names at the end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_val
 
 #: A side larger than this isn't broadcast whatever a plan asks for; Spark then chooses.
 BROADCAST_BYTES = 512 << 20
+#: A side larger than this isn't hashed in memory.
+HASH_BYTES = 64 << 30
 
 
 class Relation:
@@ -79,9 +81,15 @@ class Relation:
 
         return self._join(right, condition, kind, projection, left_filter, right_filter, prepare)
 
-    def shuffle_join(self, right: Relation, condition: Expr, projection=None, kind: str = "inner", left_filter=None, right_filter=None, strategy: str = "shuffle_hash") -> Relation:
-        """A join of sides hashed by their keys; Spark adds the exchanges itself."""
-        return self._join(right, condition, kind, projection, left_filter, right_filter, lambda left, other: (left, other.hint(strategy)))
+    def shuffle_join(self, right: Relation, condition: Expr, projection=None, kind: str = "inner", left_filter=None, right_filter=None, strategy: str | None = None) -> Relation:
+        """A join of sides hashed by their keys; Spark adds the exchanges itself.
+
+        Without a strategy Spark chooses one that spills. ``shuffle_hash`` holds a partition of the right side in memory, so it is
+        only asked for where the estimate of that side is small enough for its partitions.
+        """
+        if strategy == "shuffle_hash" and _estimate(right.df) > HASH_BYTES:
+            strategy = None
+        return self._join(right, condition, kind, projection, left_filter, right_filter, lambda left, other: (left, other.hint(strategy) if strategy else other))
 
     def shuffle(self, columns: Sequence[int], partitions: int | None = None) -> Relation:
         """Rows dealt by a hash of columns."""
@@ -122,14 +130,22 @@ class Relation:
             raise ValueError("offset and count aren't negative")
         return Relation(self.df.offset(offset).limit(count), self.names)
 
+    def transform(self, step: Callable[[DataFrame], DataFrame], names: Sequence[str] | None = None) -> Relation:
+        """A user's operator: a function from a table, under its names, to a table."""
+        return Relation(step(self.to_df()), names)
+
     def union_all(self, other: Relation) -> Relation:
         """Rows of both, by place, duplicates kept."""
         return Relation(self.df.unionAll(other.df), self.names)
 
 
+def _estimate(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _broadcast(df: DataFrame) -> DataFrame:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _estimate(df) <= BROADCAST_BYTES else df
 
 
 def read(catalog, table: str, columns: Sequence[str], partial_filter: Expr | None = None) -> Relation:

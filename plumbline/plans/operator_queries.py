@@ -127,10 +127,10 @@ def pred_col_vs_col(spark, sf):
     return X.lineitem(spark, sf).where((col("l_commitdate") < col("l_receiptdate")) & (col("l_shipdate") < col("l_commitdate"))).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal <> 0 AND (c_nationkey <= 3 OR c_nationkey >= 20) AND NOT c_mktsegment = 'MACHINERY' AND c_custkey < 100000")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal <> 0 AND (c_nationkey <= 3 OR c_nationkey >= 20) AND NOT c_mktsegment = 'MACHINERY' AND c_acctbal < 9000")
 def pred_comparisons(spark, sf):
     c = read(catalog(spark, sf, "customer"), "customer", ["c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"])
-    return c.filter((ref(1) != 0.0) & ((ref(2) <= 3) | (ref(2) >= 20)) & ~(ref(3) == "MACHINERY") & (ref(0) < 100000), [0]).to_df()
+    return c.filter((ref(1) != 0.0) & ((ref(2) <= 3) | (ref(2) >= 20)) & ~(ref(3) == "MACHINERY") & (ref(1) < 9000.0), [0]).to_df()
 
 
 @query("SELECT c_custkey, SUBSTRING(c_phone, 1, 2) AS code, SUBSTRING(c_phone, 4, 3) AS local FROM cx")

@@ -1,4 +1,4 @@
-"""Comparing results with those of an independent SQL engine, without regard to row order."""
+"""Comparing results with those of an independent SQL engine, in any row order or in the given one."""
 
 from __future__ import annotations
 
@@ -24,9 +24,9 @@ def same(a, b, tolerance: float = 1e-6) -> bool:
     return a == b
 
 
-def ordered(rows: list[dict]) -> list[tuple]:
+def ordered(rows: list[dict], in_order: bool = False) -> list[tuple]:
     found = [tuple(plain(r[k]) for k in sorted(r)) for r in rows]
-    return sorted(found, key=lambda r: [(v is None, f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r])
+    return found if in_order else sorted(found, key=lambda r: [(v is None, f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r])
 
 
 def oracle(sf_dir: str, sql: str) -> list[dict]:
@@ -45,13 +45,13 @@ def oracle(sf_dir: str, sql: str) -> list[dict]:
     return [dict(zip(names, row)) for row in got.fetchall()]
 
 
-def differences(ours: list[dict], theirs: list[dict], tolerance: float = 1e-6) -> str:
-    """Empty if the rows are the same; else what differs first."""
+def differences(ours: list[dict], theirs: list[dict], tolerance: float = 1e-6, in_order: bool = False) -> str:
+    """Empty if the rows are the same, in order too where that is asked; else what differs first."""
     if len(ours) != len(theirs):
         return f"{len(ours)} rows, the oracle has {len(theirs)}"
     if ours and sorted(ours[0]) != sorted(theirs[0]):
         return f"columns {sorted(ours[0])}, the oracle has {sorted(theirs[0])}"
-    for a, b in zip(ordered(ours), ordered(theirs)):
+    for a, b in zip(ordered(ours, in_order), ordered(theirs, in_order)):
         if len(a) != len(b) or not all(same(x, y, tolerance) for x, y in zip(a, b)):
             return f"{a} against {b}"
     return ""

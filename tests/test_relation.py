@@ -140,3 +140,11 @@ def test_sink_and_plan(spark, tmp_path):
     write_result(df, str(tmp_path / "out"), single_file=True)
     assert len(list((tmp_path / "out").glob("*.parquet"))) == 1 and spark.read.parquet(str(tmp_path / "out")).count() == 100
     assert "Exchange" in log_plan(df, str(tmp_path / "plans" / "p.txt")) and (tmp_path / "plans" / "p.txt").exists()
+
+
+def test_transform_takes_a_users_operator(spark):
+    from plumbline.operators.relation import Relation
+
+    r = Relation(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string"))
+    got = r.transform(lambda df: df.groupBy("k").count(), ["key", "n"]).sort([(0, "ascending", "before")]).to_df()
+    assert got.columns == ["key", "n"] and [tuple(x) for x in got.collect()] == [(1, 2), (2, 1)]

@@ -76,6 +76,36 @@ def test_sweep_records_good_and_failed_runs(spark, sf):
     assert runs.best(found).count() == 1 and runs.failed(found).count() == 2 and runs.flaky(found, 3).count() == 0 and runs.flaky(found, 9).count() == 2
 
 
+def test_slow_runs_are_stopped_and_the_rest_goes_on(spark, sf, tmp_path):
+    def slow(spark, sf):
+        return spark.range(0, 10**13, 1, 2).selectExpr("sum(id % 7)")
+
+    queries = {"slow": slow, "good": lambda s, d: s.read.parquet(f"{d}/nation.parquet")}
+    c = config.parse_config({"dataset": sf, "queries": ["slow", "good"], "repeat": 2, "query_timeout": 2})
+    found = {(r.query, r.number): r.error for r in runs.sweep(spark, c, queries, records=str(tmp_path / "records")).collect()}
+    assert found == {("slow", 0): "timeout of 2 s", ("good", 0): None, ("good", 1): None}
+    again = runs.sweep(spark, c, {}, records=str(tmp_path / "records"))  # all are there, so no query is run
+    assert again.count() == 3
+    best = runs.run_best(spark, c, queries, again).collect()
+    assert [(r.query, r.error) for r in best] == [("good", None)] * 2
+
+
+def test_storage_is_applied(spark, sf):
+    plans = {}
+
+    def query(spark, sf):
+        df = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey > 3")
+        plans.setdefault("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString(), 0)
+        return df
+
+    c = config.parse_config({"dataset": sf, "queries": ["q"], "repeat": 1, "storage": ["parquet_file", "system_memory"]})
+    assert runs.sweep(spark, c, {"q": query}).where("error IS NULL").count() == 2 and set(plans) == {False, True}
+    plans.clear()
+    query(spark, sf)
+    assert set(plans) == {False}  # nothing stays in the cache
+
+
 def test_differences():
+    assert differences([{"a": 1}, {"a": 2}], [{"a": 2}, {"a": 1}]) == "" and "against" in differences([{"a": 1}, {"a": 2}], [{"a": 2}, {"a": 1}], in_order=True)
     assert differences([{"a": 1, "b": 2.0}], [{"b": 2.0000000001, "a": 1}]) == ""
     assert "rows" in differences([], [{"a": 1}]) and "columns" in differences([{"a": 1}], [{"b": 1}]) and differences([{"a": 1}], [{"a": 2}])
