@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Rows:
+    """Rows of numbers of two kinds and any length, one after the other in two growing arrays: a driver that trains holds no more than
+    these, and gives all of it back."""
+
+    def __init__(self, first: str = "i", second: str = "f"):
+        self.first, self.second, self.edges = array(first), array(second), [0]
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first.frombytes(first.astype(self.first.typecode).tobytes())
+        self.second.frombytes(second.astype(self.second.typecode).tobytes())
+        self.edges.append(len(self.first))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.edges[i], self.edges[i + 1])
+        return np.frombuffer(self.first, self.first.typecode)[part], np.frombuffer(self.second, self.second.typecode)[part]
+
+
 def parts(texts: list, most: int = 1 << 21):
     """The list in runs of about ``most`` characters, a text never cut; bounds what a step holds at once."""
     begin = held = 0

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, only, parts
+from .common import Rows, held_out, mix64, only, parts
 
 #: Labelled rows that are learnt from, at most, for each class; bytes of all their texts. Texts aren't cut: the sample ends before the bound.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 64 << 20
@@ -123,7 +123,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED) -> Model
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    rows = [shares(t) for t in texts]
+    rows = Rows()
+    for t in texts:
+        rows.add(*shares(t))
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     weigh = len(y) / (2 * np.bincount(y, minlength=2))

@@ -22,12 +22,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, only
+from .common import Rows, held_out, only
 from .quality import sample, score
 
 #: Labelled rows that are learnt from, at most, for each class.
@@ -37,6 +38,8 @@ EPOCHS = 5
 RATE = 0.1
 #: Documents of the sample that a feature must be in.
 LEAST_DOCUMENTS = 5
+#: Places in which documents of features are counted; two that share one count together, and may be taken a little earlier.
+SEEN = 1 << 24
 #: Pull of each step's weights towards 0, and what a counterfactual difference costs.
 L1 = 0.02
 COUNTERFACTUAL = 1.0
@@ -148,17 +151,19 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED, penalty:
     if len(set(labels)) < 2:
         return Model({}, np.zeros((2, 0)), 0.0)
     rng = np.random.default_rng(seed)
-    seen: Counter = Counter()
-    for t in texts:  # words of one text at a time, so that the driver holds texts and numbers only
-        seen.update({f for w in set(words_of(t)) for f in features(w)})
-    terms = {w + ">" for w in IDENTITY}
-    index = {f: i for i, f in enumerate(sorted({f for f, n in seen.items() if n >= LEAST_DOCUMENTS} | terms))}
-    seen.clear()
+    # Documents are counted by a feature's hash in one array; words of one text at a time, so that the driver holds texts and numbers only.
+    seen = np.zeros(SEEN, np.uint8)
+    for t in texts:
+        at = np.fromiter({crc32(f.encode()) % SEEN for w in set(words_of(t)) for f in features(w)}, np.int64)
+        seen[at] += seen[at] < 255
+    often = {f for t in texts for w in set(words_of(t)) for f in features(w) if seen[crc32(f.encode()) % SEEN] >= LEAST_DOCUMENTS}
+    index = {f: i for i, f in enumerate(sorted(often | {w + ">" for w in IDENTITY}))}
     term = {w: np.array([index[f] for f in features(w) if f in index], np.int64) for w in IDENTITY}
-    rows, mentions = [], []
+    rows, sizes, mentions = Rows(), [], []
     for t in texts:
         words = words_of(t)
-        rows.append((*counted(words, index), len(words)))
+        rows.add(*counted(words, index))
+        sizes.append(len(words))
         mentions.append([w for w in words if w in _IDENTITY])
     weight, past, bias, past_bias = np.zeros((2, len(index))), np.full((2, len(index)), 1e-2), 0.0, 1e-2
     weigh = np.where(y == 1, min(4.0, len(y) / (2 * y.sum())), 1.0)
@@ -178,7 +183,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = SEED, penalty:
 
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            f, n, size = rows[i]
+            (f, n), size = rows[i], sizes[i]
             learn(f, weighed(n, size), i)
             if not penalty or not size:
                 continue
