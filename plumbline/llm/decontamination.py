@@ -6,8 +6,8 @@ ends taken off). An item is found in a document where some run of its words is w
 
 Windows as long as an item are taken wherever a document shares a run of words with it, of two or three by the item's
 length, at the alignment of that run. That loses nothing: k edits of n words leave n - k words in at most k + 1 pieces, so one
-of ceil((n - k) / (k + 1)) words stays whole. (Embedding every window of every item length instead costs some
-microseconds a window and length; see the README.) Each window is
+of ceil((n - k) / (k + 1)) words stays whole. (Embedding every window of every item length instead costs six walks
+of twice the length for each; see the README.) Each window is
 embedded by CGK random walks: at step j the walk writes the word it stands on, and a
 random bit of (j, word) says whether it moves on; sequences at a small edit distance
 then agree at most steps. Sampled steps of the embedding are the keys of
