@@ -28,13 +28,19 @@ def covered_length(df: DataFrame, keys: Sequence[str], start: str, end: str, ali
 def contained_in(children: DataFrame, parents: DataFrame, keys: Sequence[str], child: tuple[str, str], parent: tuple[str, str], bucket: int) -> DataFrame:
     """Pairs of a child interval and each parent interval of the same keys that contains it.
 
-    A parent is listed under each bucket of ``bucket`` units that it meets, so a hash join on keys and the child's
-    bucket replaces a comparison of all pairs. Choose the bucket near the usual parent's length.
+    Parents fall into classes of length: up to ``bucket`` units, and each class twice as long as the one before. A parent is listed under
+    the buckets of its class's length that it meets, two at most however long it is. A child is placed in the bucket of its start in each class
+    that parents have and that is no shorter than its own. A hash join on keys, class and bucket replaces a comparison of all pairs.
+    Intervals end no earlier than they start; one without a start or an end is in no pair.
     """
-    at = lambda c: F.floor(F.col(c) / bucket)
-    spread = parents.withColumn("_b", F.explode(F.sequence(at(parent[0]), at(parent[1]))))
-    placed = children.withColumn("_b", at(child[0]))
-    joined = placed.join(spread, [*keys, "_b"]).drop("_b")
+    length = lambda of: F.greatest(F.lit(0), F.ceil(F.log2((F.col(of[1]) - F.col(of[0])) / bucket))).cast("int")
+    known = lambda df, of: df.where(F.col(of[0]).isNotNull() & F.col(of[1]).isNotNull()).withColumn("_k", F.coalesce(length(of), F.lit(0)))
+    at = lambda c: F.floor(F.col(c) / (F.lit(bucket) * F.pow(F.lit(2.0), "_k")))
+    parents = known(parents, parent)
+    spread = parents.withColumn("_b", F.explode(F.array_distinct(F.array(at(parent[0]), at(parent[1])))))
+    classes = parents.select("_k").distinct()  # a row for each doubling of the bucket, so fewer than the bits of a length
+    placed = known(children, child).withColumnRenamed("_k", "_own").join(F.broadcast(classes), F.col("_own") <= F.col("_k")).withColumn("_b", at(child[0]))
+    joined = placed.join(spread, [*keys, "_k", "_b"]).drop("_k", "_own", "_b")
     return joined.where((F.col(child[0]) >= F.col(parent[0])) & (F.col(child[1]) <= F.col(parent[1])))
 
 
@@ -51,10 +57,18 @@ def warm_statistics(runs: DataFrame, keys: Sequence[str], number: str, value: st
 
 
 def matches_glob(column, pattern: str):
-    """``*`` and ``?`` stand for any run and any character; the whole value must match."""
+    """``*`` and ``?`` stand for any run and any character, ``[ab-d]`` for one of a set and ``[^...]`` (or ``[!...]``) for one outside it.
+
+    A ``]`` that comes first in a set belongs to it; a ``[`` that nothing closes is itself. The whole value must match.
+    """
     import re
 
-    return column.rlike("^(?s:" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + ")$")
+    def piece(m: re.Match) -> str:
+        if m[1] is not None:
+            return f"[{'^' if m[1] else ''}{re.sub(r'([^-0-9A-Za-z])', r'\\\1', m[2])}]"
+        return {"*": ".*", "?": "."}.get(m[0]) or re.escape(m[0])
+
+    return column.rlike(r"\A(?s:" + re.sub(r"(?s)\[([\^!]?)(\]?[^\]]+|\])\]|.", piece, pattern) + r")\z")
 
 
 def joined_strings(df: DataFrame, keys: Sequence[str], value: str, alias: str, separator: str = ",") -> DataFrame:
@@ -65,3 +79,14 @@ def joined_strings(df: DataFrame, keys: Sequence[str], value: str, alias: str, s
 def pivot_max(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], value: str) -> DataFrame:
     """A column for each of ``values`` with the largest ``value`` there; the list is given, so no pass is needed to find it."""
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(column) == v, F.col(value))).alias(v) for v in values])
+
+
+def size_rollup(df: DataFrame, keys: Sequence[str], plain: str, packed: str) -> DataFrame:
+    """Sums of plain and packed sizes and their ratio at each level of ``keys``: keys, plain_size, primary_size, n, ratio, level (keys rolled up).
+
+    The finest groups are summed first, so only they, and not the rows, are repeated for the levels.
+    """
+    finest = df.groupBy(*keys).agg(F.sum(F.col(plain).cast("long")).alias("_plain"), F.sum(F.col(packed).cast("long")).alias("_packed"), F.count(F.lit(1)).alias("_n"))
+    level = sum((F.grouping(k).cast("long") for k in keys), F.lit(0).cast("long")).alias("level")
+    rolled = finest.rollup(*keys).agg(F.sum("_plain").alias("plain_size"), F.sum("_packed").alias("primary_size"), F.sum("_n").alias("n"), level)
+    return rolled.withColumn("ratio", F.round(F.col("plain_size").cast("double") / F.col("primary_size"), 6))

@@ -53,9 +53,12 @@ def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").withColumns(extra)
 
 
-def partsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
-    return pairs.selectExpr("*", f"{AVAILABLE} AS ps_availqty", f"{COST} AS ps_supplycost")
+def partsupp(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """Offers; with ``parts`` (``p_partkey``) only theirs, chosen before the lines are made distinct."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
+    if parts is not None:
+        pairs = pairs.join(parts, F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
+    return pairs.distinct().selectExpr("*", f"{AVAILABLE} AS ps_availqty", f"{COST} AS ps_supplycost")
 
 
 def nation(spark: SparkSession, sf_dir: str) -> DataFrame:

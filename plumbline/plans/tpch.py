@@ -39,8 +39,8 @@ def q01(spark: SparkSession, sf: str) -> DataFrame:
 
 def _q02_base(spark, sf) -> DataFrame:
     europe = nation(spark, sf).join(region(spark, sf).where("r_name = 'EUROPE'"), col("n_regionkey") == col("r_regionkey")).select("n_nationkey", "n_name")
-    offers = partsupp(spark, sf).join(supplier(spark, sf), col("ps_suppkey") == col("s_suppkey")).join(europe, col("s_nationkey") == col("n_nationkey"))
     parts = part(spark, sf).where("p_size BETWEEN 10 AND 20 AND p_type LIKE '%ARD'").select("p_partkey", "p_mfgr")
+    offers = partsupp(spark, sf, parts.select("p_partkey")).join(supplier(spark, sf), col("ps_suppkey") == col("s_suppkey")).join(europe, col("s_nationkey") == col("n_nationkey"))
     return offers.join(parts, col("ps_partkey") == col("p_partkey"))
 
 
@@ -238,7 +238,7 @@ def q15(spark: SparkSession, sf: str) -> DataFrame:
 def _q16_pairs(spark, sf) -> DataFrame:
     sizes = [3, 9, 14, 19, 23, 36, 45, 49]
     p = part(spark, sf).where((col("p_brand") != "Brand#11") & ~col("p_type").like("MEDIUM%") & col("p_size").isin(sizes)).select("p_partkey", "p_brand", "p_type", "p_size")
-    return partsupp(spark, sf).select("ps_partkey", "ps_suppkey").join(p, col("ps_partkey") == col("p_partkey"))
+    return partsupp(spark, sf, p.select("p_partkey")).select("ps_partkey", "ps_suppkey").join(p, col("ps_partkey") == col("p_partkey"))
 
 
 def q16(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,8 +296,7 @@ def q20(spark: SparkSession, sf: str, filter_late: bool = False) -> DataFrame:
     lines = lines.join(p, col("l_partkey") == col("p_partkey"), "left_semi")
     lines = lines.where(year) if filter_late else lineitem(spark, sf).where(year).join(p, col("l_partkey") == col("p_partkey"), "left_semi")
     sums = lines.groupBy("l_partkey", "l_suppkey").agg((0.5 * F.sum("l_quantity")).alias("half"))
-    offers = partsupp(spark, sf).join(p, col("ps_partkey") == col("p_partkey"), "left_semi")
-    chosen = offers.join(sums, (col("ps_partkey") == col("l_partkey")) & (col("ps_suppkey") == col("l_suppkey")) & (col("ps_availqty").cast("double") > col("half")), "left_semi")
+    chosen = partsupp(spark, sf, p).join(sums, (col("ps_partkey") == col("l_partkey")) & (col("ps_suppkey") == col("l_suppkey")) & (col("ps_availqty").cast("double") > col("half")), "left_semi")
     s = supplier(spark, sf).join(nation(spark, sf).where("n_name = 'NATION_7'"), col("s_nationkey") == col("n_nationkey"))
     return s.join(chosen.select("ps_suppkey"), col("s_suppkey") == col("ps_suppkey"), "left_semi").select("s_name", "s_address").orderBy("s_name")
 

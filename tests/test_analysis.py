@@ -56,13 +56,32 @@ def test_best_and_warm(spark):
 
 
 def test_glob(spark):
-    words = ["click", "view", "a.b", "a+b", "", "xx\ny"]
+    words = ["click", "view", "a.b", "a+b", "", "xx\ny", "[", "a[", "]b", "click\n"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    for pattern in ("*", "?i*", "a.b", "*y", ""):
-        assert sorted(r.w for r in df.where(analysis.matches_glob(F.col("w"), pattern)).collect()) == sorted(w for w in words if fnmatchcase(w, pattern))
+    for pattern in ("*", "?i*", "a.b", "*y", "", "[a-c]*", "[!a-c]*", "a[.+]b", "a[!.]b", "[]x]*", "[^]", "[", "a[", "*[y]"):
+        want = sorted(w for w in words if fnmatchcase(w, pattern))
+        assert sorted(r.w for r in df.where(analysis.matches_glob(F.col("w"), pattern)).collect()) == want, pattern
+    assert df.where(analysis.matches_glob(F.col("w"), "[^a-c]*")).count() == df.where(analysis.matches_glob(F.col("w"), "[!a-c]*")).count()
 
 
 def test_strings_and_pivot(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 5), (1, "a", 7), (2, "c", 1)], "k int, t string, v int")
     assert {r.k: r.s for r in analysis.joined_strings(df, ["k"], "t", "s").collect()} == {1: "a,b", 2: "c"}
     assert sorted(tuple(r) for r in analysis.pivot_max(df, ["k"], "t", ["a", "b"], "v").collect() if r.a) == [(1, 7, 2)]
+
+
+def test_long_parents_are_listed_twice_at_most(spark):
+    parents = [(0, 0, 10**9), (1, 5, 6), (2, 100, 4000), (3, None, 7), (4, 6, 6)]
+    children = [(0, 5, 6), (1, 0, 10**9), (2, 3999, 4000), (3, 6, None), (4, 6, 6), (5, -1, 0)]
+    c = spark.createDataFrame([(1, *r) for r in children], "k int, child int, c0 long, c1 long")
+    p = spark.createDataFrame([(1, *r) for r in parents], "k int, parent int, p0 long, p1 long")
+    got = sorted((r.child, r.parent) for r in analysis.contained_in(c, p, ["k"], ("c0", "c1"), ("p0", "p1"), 4).collect())
+    whole = lambda rows: [r for r in rows if None not in r]
+    assert got == sorted((a, b) for a, s, e in whole(children) for b, t, u in whole(parents) if t <= s and e <= u)
+
+
+def test_size_rollup(spark):
+    rows = [("a", "x", 8, 3), ("a", "x", 8, 5), ("a", None, 8, 2), (None, "x", 8, 4)]
+    got = {(r.k, r.j, r.level): (r.plain_size, r.primary_size, r.n) for r in analysis.size_rollup(spark.createDataFrame(rows, "k string, j string, plain int, packed int"), ["k", "j"], "plain", "packed").collect()}
+    assert got == {("a", "x", 0): (16, 8, 2), ("a", None, 0): (8, 2, 1), (None, "x", 0): (8, 4, 1), ("a", None, 1): (24, 10, 3), (None, None, 1): (8, 4, 1), (None, None, 2): (32, 14, 4)}
+    assert analysis.size_rollup(spark.createDataFrame([], "k string, j string, plain int, packed int"), ["k", "j"], "plain", "packed").count() <= 1
