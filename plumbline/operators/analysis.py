@@ -1,4 +1,4 @@
-"""Analytic operators over event tables: interval merging, containment joins, best and stable configurations, pivots."""
+"""Analytic operators over event tables: interval merging, containment joins, pairs in order, best and stable configurations, pivots."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relation import estimated_bytes
+
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Maximal intervals that overlapping or touching ones make, by key: keys, start, end, n_merged.
@@ -44,6 +46,32 @@ def contained_in(children: DataFrame, parents: DataFrame, keys: Sequence[str], c
     return joined.where((F.col(child[0]) >= F.col(parent[0])) & (F.col(child[1]) <= F.col(parent[1])))
 
 
+def pairs_above(high: DataFrame, low: DataFrame, high_cols: tuple[str, str, str], low_cols: tuple[str, str, str], block: int = 256, tasks: int | None = None, small: int = 64 << 20) -> DataFrame:
+    """(key of low, key of high) of each pair with the same group where high's value is above low's; columns are (key, group, value).
+
+    Rows of ``low`` stand in blocks of near values. A row of ``high`` takes whole blocks that end below its value and looks into those that
+    its value falls in, so what is compared in vain is a block a row, or the rows of one value. The pairs are as many as they are; ``high``
+    is dealt evenly over tasks by their upper bound, whatever its files or groups. Blocks are copied to all tasks up to ``small`` bytes
+    of ``low``, as the optimizer estimates; beyond, both sides are hashed by group and a salt.
+    """
+    above = high.select(F.col(high_cols[0]).alias("_hk"), F.col(high_cols[1]).alias("_g"), F.col(high_cols[2]).alias("_h")).where("_g is not null and _h is not null")
+    below = low.select(F.col(low_cols[0]).alias("_lk"), F.col(low_cols[1]).alias("_g"), F.col(low_cols[2]).alias("_l")).where("_g is not null and _l is not null")
+    if tasks is None:
+        tasks = max(1, min(4096, above.count() * below.count() // 500_000_000))
+    place = F.floor((F.row_number().over(Window.partitionBy("_g").orderBy("_l")) - 1) / block)
+    blocks = below.withColumn("_b", place).groupBy("_g", "_b").agg(F.min("_l").alias("_least"), F.max("_l").alias("_most"), F.collect_list(F.struct("_lk", "_l")).alias("_rows")).drop("_b")
+    keys, on = F.transform("_rows", lambda r: r["_lk"]).alias("_keys"), ["_g"]
+    above = above.repartition(tasks)
+    if estimated_bytes(below) <= small:
+        put = F.broadcast
+    else:
+        above = above.withColumn("_salt", F.pmod(F.xxhash64("_hk", "_h"), F.lit(tasks)).cast("int"))
+        blocks, on, put = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), ["_g", "_salt"], lambda df: df
+    whole = above.join(put(blocks.select(*on, "_most", keys)), on).where("_h > _most").select("_hk", F.explode("_keys").alias("_lk"))
+    part = above.join(put(blocks), on).where("_h > _least and not _h > _most").select("_hk", "_h", F.inline("_rows").alias("_lk", "_l")).where("_h > _l")
+    return whole.select("_lk", "_hk").unionAll(part.select("_lk", "_hk")).toDF(low_cols[0], high_cols[0])
+
+
 def best_per_group(df: DataFrame, keys: Sequence[str], by: str, ties: Sequence[str]) -> DataFrame:
     """The row with the least ``by`` of each group; the first by ``ties`` if there are several."""
     row = F.struct(*[c for c in df.columns if c not in keys])

@@ -87,7 +87,7 @@ class Relation:
         Without a strategy Spark chooses one that spills. ``shuffle_hash`` holds a partition of the right side in memory, so it is
         only asked for where the estimate of that side is small enough for its partitions.
         """
-        if strategy == "shuffle_hash" and _estimate(right.df) > HASH_BYTES:
+        if strategy == "shuffle_hash" and estimated_bytes(right.df) > HASH_BYTES:
             strategy = None
         return self._join(right, condition, kind, projection, left_filter, right_filter, lambda left, other: (left, other.hint(strategy) if strategy else other))
 
@@ -139,13 +139,13 @@ class Relation:
         return Relation(self.df.unionAll(other.df), self.names)
 
 
-def _estimate(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a result's bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if _estimate(df) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
 
 
 def read(catalog, table: str, columns: Sequence[str], partial_filter: Expr | None = None) -> Relation:

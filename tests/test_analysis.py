@@ -85,3 +85,22 @@ def test_size_rollup(spark):
     got = {(r.k, r.j, r.level): (r.plain_size, r.primary_size, r.n) for r in analysis.size_rollup(spark.createDataFrame(rows, "k string, j string, plain int, packed int"), ["k", "j"], "plain", "packed").collect()}
     assert got == {("a", "x", 0): (16, 8, 2), ("a", None, 0): (8, 2, 1), (None, "x", 0): (8, 4, 1), ("a", None, 1): (24, 10, 3), (None, None, 1): (8, 4, 1), (None, None, 2): (32, 14, 4)}
     assert analysis.size_rollup(spark.createDataFrame([], "k string, j string, plain int, packed int"), ["k", "j"], "plain", "packed").count() <= 1
+
+
+def test_pairs_above(spark):
+    rng = random.Random(7)
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0]
+    rows = lambda n: [(rng.choice([None, *range(n)]) if i % 9 == 0 else i, rng.choice([None, 1, 1, 1, 2]), rng.choice(odd) if i % 5 == 0 else float(rng.randrange(-20, 20))) for i in range(n)]
+    high, low = spark.createDataFrame(rows(300), "h long, hg int, hv double"), spark.createDataFrame(rows(120), "l long, lg int, lv double")
+    want = sorted(map(str, low.join(high, (F.col("lg") == F.col("hg")) & (F.col("hv") > F.col("lv"))).select("l", "h").collect()))
+    assert len(want) > 5000
+    for block, small in ((1, 1 << 30), (7, 1 << 30), (256, 1 << 30), (7, -1)):
+        got = analysis.pairs_above(high, low, ("h", "hg", "hv"), ("l", "lg", "lv"), block=block, tasks=5, small=small)
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_pairs_above_deal_rows_of_one_file_over_tasks(spark):
+    """Tables of one file, a few groups and many pairs: the tasks follow the pairs."""
+    high, low = spark.range(0, 60_000, 1, 1).selectExpr("id h", "id % 2 hg", "double(id) hv"), spark.range(0, 60_000, 1, 1).selectExpr("id l", "id % 2 lg", "double(id) lv")
+    got = analysis.pairs_above(high, low, ("h", "hg", "hv"), ("l", "lg", "lv"))
+    assert got.rdd.getNumPartitions() >= 7
