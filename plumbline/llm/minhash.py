@@ -6,10 +6,11 @@ candidates. They are looked at in two rounds:
 
 1. In each bucket, all nodes are compared with the least one and the greatest one only. That joins
    large groups of near copies with as many pairs as they have members, or twice that.
-2. In buckets that still hold several components, all pairs of different ones are
-   compared, in blocks of bounded size, inside the tasks. A task also verifies them,
-   and leaves out pairs that its own links have joined meanwhile, so what leaves it are
-   fewer links than the block has nodes.
+2. In buckets whose other nodes still are of several components, all pairs of different ones are
+   compared by signature, in blocks of bounded size; members of the largest one meet the
+   others only. Pairs that pass are laid out in tiles, and only nodes of tiles get texts. A task verifies the pairs of
+   its tiles, and leaves out those that its own links have joined meanwhile, so what leaves it are
+   fewer links than the tile has nodes.
 
 In both, signatures are compared a batch at a time. After n hashes with m
 matches, the posterior of the similarity under a uniform prior is
@@ -44,8 +45,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes that are compared at a time, and the chance of a link that pruning may miss.
 BATCH, MISS = 16, 1e-6
-#: Members of a bucket that meet in one task of the second round, from each side; pairs that are looked at together.
-BLOCK, PAIRS = 256, 1 << 16
+#: Members of a bucket that meet by signature, and nodes of a tile that meet with texts, from each side; pairs that are looked at together.
+BLOCK, TILE, PAIRS = 2048, 256, 1 << 16
 #: Partners that one task verifies with a text.
 PARTNERS = 64
 #: Copies of a text from which on its rows are split over SPLIT tasks, and how many such texts there can be.
@@ -159,19 +160,111 @@ def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.loc[likely(_signatures(rows.sig_a), _signatures(rows.sig_b), at, at), ["a", "b"]]
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block. Links of its nodes that join different components."""
-    held, sets = None, _Sets()
+def _by_block(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows come sorted by block: whole blocks, and where each begins and ends."""
+    held: list[pd.DataFrame] = []
     for rows in batches:
-        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
         if not len(rows):
             continue
-        block = rows[["key", "i", "j"]].to_numpy()
+        block = rows[columns].to_numpy()
+        if held and not (block == held[0][columns].to_numpy()[0]).all(axis=1)[-1]:
+            rows, held = pd.concat([*held, rows], ignore_index=True), []
+            block = rows[columns].to_numpy()
+        if held:
+            held.append(rows)
+            continue
         starts = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1])
-        held = rows.iloc[starts[-1] :]
-        yield _links(rows.iloc[: starts[-1]], starts, sets)
-    if held is not None:
-        yield _links(held.reset_index(drop=True), np.array([0, len(held)]), sets)
+        held = [rows.iloc[starts[-1] :]]
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, np.array([0, len(rows)])
+
+
+class _Pairs:
+    """Pairs of one block at a time: of different components, met in no earlier band and not ruled out by their signatures."""
+
+    def __init__(self, rows: pd.DataFrame, edges: np.ndarray):
+        self.edges, self.sig, self.comp = edges, _signatures(rows.sig), rows.comp.to_numpy()
+        self.node, self.band = rows.node.to_numpy(), rows.band.to_numpy()
+        self.own, self.crossed = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy()
+
+    def _products(self, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Sides of a block whose pairs are wanted, and whether each pair comes twice; members of the largest component don't meet each other."""
+        found, count = np.unique(self.comp[begin:end], return_counts=True)
+        at, large = np.arange(begin, end), self.comp[begin:end] == found[count.argmax()]
+        if self.crossed[begin]:
+            own = self.own[begin:end]
+            yield at[own & ~large], at[~own], False
+            yield at[own & large], at[~own & ~large], False
+        else:
+            yield at[~large], at[~large], True
+            yield at[~large], at[large], False
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row of the block, pairs x and y, equal hashes)."""
+        for begin, end in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()):
+            for one, two, twice in self._products(begin, end):
+                step = max(1, PAIRS // max(1, len(two)))
+                for i in range(0, len(one) if len(two) else 0, step):
+                    part = one[i : i + step]
+                    x, y = np.repeat(part, len(two)), np.tile(two, len(part))
+                    new = self.comp[x] != self.comp[y]
+                    if twice:
+                        new &= x < y
+                    x, y = x[new], y[new]
+                    good = likely(self.sig, self.sig, x, y)
+                    x, y = x[good], y[good]
+                    equal = self.sig[x] == self.sig[y]
+                    met = equal.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band[x]
+                    if met.any():
+                        yield begin, x[met], y[met], equal[met].sum(axis=1)
+
+
+TILED = "tile long, i int, j int, side int, band int, node long, comp long, sig binary"
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of each block that must be verified, as tiles of TILE nodes from each side; a node stands in the tiles of its pairs."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 40
+    for rows, edges in _by_block(batches, ["key", "i", "j"]):
+        last, xs, ys, out = None, [], [], []
+
+        def lay() -> None:
+            nonlocal number
+            if not xs:
+                return
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            p, q = np.unique(x, return_inverse=True)[1] // TILE, np.unique(y, return_inverse=True)[1] // TILE
+            tile = p * (q.max() + 1) + q
+            for side, at in ((0, x), (1, y)):
+                both = np.unique(np.stack([tile, at], axis=1), axis=0)
+                got = rows.iloc[both[:, 1]][["band", "node", "comp", "sig"]]
+                got.insert(0, "side", side)
+                got.insert(0, "j", 1)
+                got.insert(0, "i", 0)
+                got.insert(0, "tile", both[:, 0] + number)
+                out.append(got)
+            number += int(tile.max()) + 1
+
+        for begin, x, y, _ in _Pairs(rows, edges):
+            if begin != last:
+                lay()
+                last, xs, ys = begin, [], []
+            xs.append(x.astype(np.int32))
+            ys.append(y.astype(np.int32))
+        lay()
+        yield from out
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by tile. Links of its nodes that join different components."""
+    sets = _Sets()
+    for rows, edges in _by_block(batches, ["tile"]):
+        yield _links(rows, edges, sets)
 
 
 class _Sets:
@@ -189,14 +282,10 @@ class _Sets:
 
 
 def _links(rows: pd.DataFrame, edges: np.ndarray, sets: _Sets) -> pd.DataFrame:
-    """Pairs of one block at a time: of different components, met in no earlier band, without the bucket's least and
-    greatest nodes, which round 1 has seen; not ruled out, not joined meanwhile by another link, and verified."""
+    """Pairs of one tile at a time that aren't joined meanwhile by another link, and verified."""
     found: list[tuple[int, int]] = []
-    if not len(rows):
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    sig, comp, node, band = _signatures(rows.sig), rows.comp.to_numpy(), rows.node.to_numpy(), rows.band.to_numpy()
-    text = rows.text.to_numpy()
-    own, crossed, seen = (rows.side == rows.i).to_numpy(), (rows.i != rows.j).to_numpy(), ((rows.node == rows.a) | (rows.node == rows.z)).to_numpy()
+    pairs, text = _Pairs(rows, edges), rows.text.to_numpy()
+    comp, node = pairs.comp, pairs.node
     root: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -205,40 +294,13 @@ def _links(rows: pd.DataFrame, edges: np.ndarray, sets: _Sets) -> pd.DataFrame:
             c = up
         return c
 
-    def look(x: np.ndarray, y: np.ndarray) -> None:
-        new = (comp[x] != comp[y]) & ~seen[x] & ~seen[y]
-        x, y = x[new], y[new]
-        good = likely(sig, sig, x, y)
-        x, y = x[good], y[good]
-        if not len(x):
-            return
-        equal = sig[x] == sig[y]
-        met = equal.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]
-        order = np.flatnonzero(met)[np.argsort(-equal[met].sum(axis=1), kind="stable")]
+    for _, x, y, equal in pairs:
+        order = np.argsort(-equal, kind="stable")
         for p, q in zip(x[order].tolist(), y[order].tolist()):
             c, d = top(int(comp[p])), top(int(comp[q]))
             if c != d and similar(sets(int(node[p]), text[p]), sets(int(node[q]), text[q])):
                 root[max(c, d)] = min(c, d)
                 found.append((int(node[p]), int(node[q])))
-
-    xs, ys, n = [], [], 0
-    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        one, two = np.arange(begin, end), np.arange(begin, end)
-        if crossed[begin]:
-            one, two = one[own[begin:end]], two[~own[begin:end]]
-        for i in range(0, len(one), PAIRS // BLOCK):
-            part = one[i : i + PAIRS // BLOCK]
-            x, y = np.repeat(part, len(two)), np.tile(two, len(part))
-            if not crossed[begin]:
-                x, y = x[x < y], y[x < y]
-            xs.append(x)
-            ys.append(y)
-            n += len(x)
-            if n >= PAIRS:
-                look(np.concatenate(xs), np.concatenate(ys))
-                xs, ys, n = [], [], 0
-    if n:
-        look(np.concatenate(xs), np.concatenate(ys))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -329,20 +391,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.write(verify(survivors, texts), "links1")
     comps = scratch.write(components(links, scratch, "star"), "comps")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
-
-    placed = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rest = placed.join(mixed, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "node", "a", "z", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    dealt = rest.join(sigs, "node").join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # Round 1 has seen all pairs of a bucket's least and greatest nodes.
+    placed = met.where("node != a and node != z").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    each = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("l"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = mixed.select("key", F.col("l.comp").alias("large"), F.col("l.m").alias("m"), "n")
+    # A bucket is one block, or has blocks of the largest component, which don't meet, behind those of the others.
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    inside, one, spread = F.col("comp") == F.col("large"), F.col("n") <= BLOCK, F.xxhash64("node")
+    few, many = blocks(F.col("n") - F.col("m")), blocks(F.col("m"))
+    side = F.when(one, 0).when(inside, few + F.pmod(spread, many)).otherwise(F.pmod(spread, few)).cast("int")
+    last = F.when(one, 0).when(inside, few - 1).otherwise(few + many - 1)
+    rest = placed.drop("n").join(mixed, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rest = rest.select("key", "band", "node", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    near = rest.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = scratch.write(near.mapInPandas(_tiles, TILED), "tiles")
+    dealt = tiles.join(texts, "node").repartition("tile").sortWithinPartitions("tile")
     links = links.unionAll(scratch.write(dealt.mapInPandas(_blocks, "a long, b long"), "links2"))
     # Rows of one id are one document.
     ids = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("doc_id", "a")
     links = links.unionAll(known.join(ids, "doc_id").select("a", F.col("node").alias("b")).where("a != b"))
     comps = scratch.write(components(links, scratch, "all"), "final")
-    for name in ("met", "first", "texts", "survivors1", "links1", "links2", "comps"):
+    for name in ("met", "first", "texts", "survivors1", "links1", "links2", "comps", "tiles"):
         scratch.drop(name)  # "signed", "nodes" and "final" are what the result is read from
 
     least = nodes.join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))

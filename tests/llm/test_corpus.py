@@ -99,6 +99,48 @@ def test_many_near_copies_of_two_components_in_one_bucket(spark):
     assert {tuple(r) for r in got} == {(0, 2500), (1, 2500)}
 
 
+def test_small_blocks_and_tiles(spark, monkeypatch):
+    """All blocks and tiles are crossed; module settings are read in tasks, so tasks' functions are called here."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    texts = [" ".join([*base[: 40 - 2 * (i % 5)], *(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(8)))]) for i in range(60)]
+    sets = [minhash.Shingler()(x) for x in texts]
+    rows = pd.DataFrame({"key": 1, "band": 0, "node": range(60), "comp": [i if i % 3 else 0 for i in range(60)], "sig": [minhash.signature(s).tobytes() for s in sets], "side": [0 if i % 3 else 1 for i in range(60)], "i": 0, "j": 1})
+    same = lambda x, y: (minhash.signature(sets[x]) == minhash.signature(sets[y])).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
+    first = [[same(x, y).argmax() == 0 and same(x, y).any() or not same(x, y).any() for y in range(60)] for x in range(60)]
+    sig = minhash._signatures(rows.sig)
+    monkeypatch.setattr(minhash, "TILE", 4)
+    for crossed in (False, True):
+        block = rows if crossed else rows.assign(side=0, i=0, j=0)
+        want = {(x, y) for x in range(60) for y in range(x) if (x % 3 or y % 3) and not (crossed and (x % 3 != 0) == (y % 3 != 0)) and first[x][y] and minhash.likely(sig, sig, np.array([x]), np.array([y]))[0]}
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+        tiles = pd.concat([*minhash._tiles(iter([block.iloc[:25].copy(), block.iloc[25:].copy()]))])
+        monkeypatch.undo()
+        monkeypatch.setattr(minhash, "TILE", 4)
+        assert tiles.groupby(["tile", "side"]).node.nunique().max() <= 4
+        got = {(max(x, y), min(x, y)) for _, t in tiles.groupby("tile") for x in t.node[t.side == 0] for y in t.node[t.side == 1]}
+        assert want and want <= got
+
+
+def test_a_large_component_does_not_meet_itself_again(spark, monkeypatch):
+    """1,500 linked near copies share bands with three others: the second round gets few texts, not 1,500 from each of several blocks and bands."""
+    rng = random.Random(12)
+    lead = [f"w{rng.randrange(10**6)}" for _ in range(75)]
+    one, two = (lead + [f"w{rng.randrange(10**6)}" for _ in range(25)] for _ in range(2))
+    rows = [(i, " ".join([*(two if i < 3 else one)[:-1], f"x{i}"])) for i in range(1503)]
+    seen, write = {}, minhash.Scratch.write
+
+    def keep(self, df, name, codec="zstd"):
+        seen[name] = df._jdf.queryExecution()
+        return write(self, df, name, codec)
+
+    monkeypatch.setattr(minhash.Scratch, "write", keep)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("component_id").count().collect()
+    assert {tuple(r) for r in got} == {(0, 3), (3, 1500)}
+    text = seen["links2"].toString()
+    assert "_tiles" not in text and "tile" in text  # texts are joined to what _tiles has left, not to blocks
+
+
 def test_large_groups_of_copies(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", 5)
     texts = ["one text that has very many copies"] * 50 + family(10, 4, 5)
