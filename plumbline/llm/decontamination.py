@@ -184,15 +184,19 @@ class Finder:
         self.flat = np.concatenate([*items.words, np.empty(0, np.int64)])
         self.first = np.cumsum(self.lengths) - self.lengths
         self.known = np.zeros(len(items.number), bool)
+        self.hashes = {n: np.sort(np.fromiter(table, np.uint64, len(table))) for n, table in items.tables.items()}
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         cache, number = self.cache, self.items.number
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = number.get(p, -1) if (p := plain(w)) else -2
-        got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        try:  # most texts have no new words
+            got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            for w in set(words).difference(cache):
+                cache[w] = number.get(p, -1) if (p := plain(w)) else -2
+            got = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         return got[got > -2]
 
     def seeds(self, text: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, tuple, tuple]]:
@@ -268,14 +272,16 @@ class Finder:
                 for r, (t, s) in enumerate(zip(text[part], window[part, 1])):
                     w = numbers[t][max(s, 0) : s + n]
                     rows[r, max(-s, 0) : max(-s, 0) + len(w)] = w
-                table = self.items.tables[int(n)]
-                for t, s, row in zip(text[part].tolist(), window[part, 1].tolist(), keys(rows).tolist()):
-                    for k in {k for h in row for k in table.get(h, ())}:
-                        most = most_edits(int(n))
-                        if best.get((t, k), most + 1) == 0:
-                            continue
-                        d = fitting_distance(self.items.words[k], numbers[t][max(s - most, 0) : s + n + most])
-                        if d <= most and d < best.get((t, k), most + 1):
+                table, hashes, most, got = self.items.tables[int(n)], self.hashes[int(n)], most_edits(int(n)), keys(rows)
+                hit = hashes[np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)] == got
+                for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                    t, s = int(text[part[r]]), int(window[part[r], 1])
+                    run = numbers[t][max(s - most, 0) : s + n + most]
+                    for k in {k for h in got[r, hit[r]].tolist() for k in table[h]}:
+                        known = best.get((t, k), most + 1)
+                        if known == 0 or n - int(self.shared(np.array([k]), run)[0]) >= known:
+                            continue  # too few shared words for fewer edits
+                        if (d := fitting_distance(self.items.words[k], run)) < known:
                             best[t, k] = d
         for t, held in enumerate(each):
             if len(held) and len(start := self.starts(numbers[t], seeds[t])):
