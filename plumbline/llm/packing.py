@@ -74,32 +74,34 @@ class Encoder:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn(distinct)
         ids = [*map(self.words.__getitem__, distinct), np.uint16(END).tobytes()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint16)
+        # 32 bits hold all places, as the bytes of a column do.
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
+        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(ids), np.uint16)
         at = split.offsets.to_numpy()
-        codes = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:] - at[0], len(distinct))
+        codes = np.insert(coded.indices.to_numpy(), at[1:] - at[0], len(distinct))
         size = size[codes]
-        ends = np.cumsum(size)
-        out = flat[np.repeat(start[codes] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(size, dtype=np.int32)
+        out = flat[np.repeat(start[codes] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
         bounds = np.concatenate([[0], ends[at[1:] - at[0] + np.arange(len(at) - 1)] * 2]).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())])
 
     def _learn(self, distinct: list[str]) -> None:
         if len(self.words) > CACHE:
             self.words, self.old = {"": b""}, self.words
-        words, old, new = self.words, self.old, []
-        for w in distinct:
-            if w not in words:
-                if (got := old.get(w)) is not None:
-                    words[w] = got
-                else:
-                    new.append(w)
-        cut = [self._cut(w) for w in new]
-        stems = self._encode(list({x for both in cut for x in both}))
-        words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(new, cut))
+        words, old = self.words, self.old
+        new = [w for w in distinct if w not in words]
+        if old:
+            words.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in words]
+        letters = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        cut = [self._cut(w) for w in rest]
+        stems = self._encode(letters, list({x for both in cut for x in both}))
+        words.update(zip(letters, map(stems.__getitem__, letters)))
+        words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(rest, cut))
 
     @staticmethod
     def _cut(word: str) -> tuple[str, str]:
@@ -108,18 +110,17 @@ class Encoder:
         stem = word.rstrip(".,!?;:|$%*#&")
         return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
 
-    def _encode(self, stems: list[str]) -> dict[str, bytes]:
+    def _encode(self, letters: list[str], stems: list[str]) -> dict[str, bytes]:
         """Letters alone are one piece each, so many are encoded together and told apart by their last ids."""
-        found, plain, other = {}, [], []
-        for w in stems:
-            (plain if w.isalpha() else other).append(w)
+        found, other = {}, [w for w in stems if not w.isalpha()]
+        plain = letters + list({w for w in stems if w.isalpha()}.difference(letters))
         runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint16)
             at = (np.flatnonzero(self.ends[ids]) * 2 + 2).tolist()
             if len(at) == len(run):
                 raw = ids.tobytes()
-                found.update((w, raw[a:b]) for w, a, b in zip(run, [0, *at], at))
+                found.update(zip(run, map(raw.__getitem__, map(slice, [0, *at], at))))
             else:  # a letter that the vocabulary's rules take apart
                 other += run
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
