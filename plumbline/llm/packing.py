@@ -19,6 +19,7 @@ pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -40,32 +41,65 @@ DIMENSIONS, SAMPLE, LEAST_SAMPLE, JITTER = 64, 16, 8192, 1e-3
 #: Items that are looked at together.
 TOGETHER = 256
 K1, B = 1.2, 0.75
+#: A word of more than one in so many items has a row; the table has fewer cells than so many times the postings.
+DENSE = 8
 #: Of the idf in a projection; of the projection's signs.
 POWER, SEED = 1.5, 20240616
-#: Distinct words of a generation.
+#: Distinct pieces of a generation.
 CACHE = 400_000
+#: Letters that normalising leaves alone but for capitals: Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁҊ-ԯ\u05d0-\u05ea\u0621-\u063a\u0641-\u064aぁ-ゖァ-ヺ一-龥가-힣"
 #: Ids of the vocabulary, at most; they fit 16 bits.
 VOCABULARY = 1 << 16
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Pieces:
+    """Ids of distinct pieces in flat columns, which take a small part of the memory of Python's own strings."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.string())
+        self.start, self.size, self.flat = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint16)
+
+    def add(self, names: pa.Array, size: np.ndarray, flat: np.ndarray) -> None:
+        self.names, self.size, self.flat = pa.concat_arrays([self.names, names]), np.append(self.size, size), np.append(self.flat, flat)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each of these distinct names here, or -1; the hash table is that of the fewer ones."""
+        asked = pc.fill_null(pc.index_in(self.names, value_set=names), -1).to_numpy()
+        known, at = np.flatnonzero(asked >= 0), np.full(len(names), -1, np.int64)
+        at[asked[known]] = known
+        return at
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of these starts and sizes, one after the other; 32 bits hold all places, as the bytes of a column do."""
+    place = np.repeat(start - np.cumsum(size, dtype=np.int32) + size, size)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place]
+
+
 class Encoder:
     """Ids of whole texts, a column at a time.
 
-    The vocabulary's pattern never spans white space, so the ids of a text are those of its words,
-    and each distinct word is encoded once. Words are kept in two generations, so those that
-    recur stay. Capitals don't matter to the vocabulary, and signs at the end of a word are pieces of their own.
+    The vocabulary's pattern never spans white space, so the ids of a text are those of its words. Signs at the end of a word are
+    a piece of their own, capitals don't matter to the vocabulary, and each distinct piece is encoded once. Pieces are kept in two
+    generations, so those that recur stay. A task has one core, so the library starts no threads.
     """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self.letters = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
+        # ``LETTERS`` alone: none is composed or taken apart and a word is one piece, so capitals are all that is left of rules and pattern.
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(VOCABULARY, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.new, self.old = Pieces(), Pieces()
 
     def __call__(self, texts: pa.Array) -> pa.Array:
         """The ids of each text and the end id, as 16-bit numbers."""
@@ -74,58 +108,56 @@ class Encoder:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn(distinct)
-        ids = [*map(self.words.__getitem__, distinct), np.uint16(END).tobytes()]
-        # 32 bits hold all places, as the bytes of a column do.
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
-        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(ids), np.uint16)
-        at = split.offsets.to_numpy()
-        codes = np.insert(coded.indices.to_numpy(), at[1:] - at[0], len(distinct))
+        pieces = pa.concat_arrays(self._cut(coded.dictionary)).dictionary_encode()
+        at = self._places(pieces.dictionary)[pieces.indices.to_numpy().reshape(2, -1).T.ravel()]
+        # The ids of each distinct word, and last the end of a text.
+        flat = np.append(gathered(self.new.flat, self.new.start[at], self.new.size[at]), np.uint16(END))
+        size = np.append(self.new.size[at].reshape(-1, 2).sum(axis=1, dtype=np.int32), np.int32(1))
+        start = np.cumsum(size, dtype=np.int32) - size
+        words = split.offsets.to_numpy()
+        words = words[1:] - words[0]
+        codes = np.insert(coded.indices.to_numpy(), words, len(size) - 1)
         size = size[codes]
-        ends = np.cumsum(size, dtype=np.int32)
-        out = flat[np.repeat(start[codes] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
-        bounds = np.concatenate([[0], ends[at[1:] - at[0] + np.arange(len(at) - 1)] * 2]).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())])
-
-    def _learn(self, distinct: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words, self.old = {"": b""}, self.words
-        words, old = self.words, self.old
-        new = [w for w in distinct if w not in words]
-        if old:
-            words.update((w, old[w]) for w in new if w in old)
-            new = [w for w in new if w not in words]
-        letters = [w for w in new if w.isalpha()]
-        rest = [w for w in new if not w.isalpha()]
-        cut = [self._cut(w) for w in rest]
-        stems = self._encode(letters, list({x for both in cut for x in both}))
-        words.update(zip(letters, map(stems.__getitem__, letters)))
-        words.update((w, stems[a] + stems[b]) for w, (a, b) in zip(rest, cut))
+        bounds = np.append(0, np.cumsum(size, dtype=np.int32)[words + np.arange(len(words))] * 2).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(gathered(flat, start[codes], size))])
 
     @staticmethod
-    def _cut(word: str) -> tuple[str, str]:
-        if "<|" in word:
-            return word, ""
-        stem = word.rstrip(".,!?;:|$%*#&")
-        return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
-
-    def _encode(self, letters: list[str], stems: list[str]) -> dict[str, bytes]:
-        """Letters alone are one piece each, so many are encoded together and told apart by their last ids."""
-        found, other = {}, [w for w in stems if not w.isalpha()]
-        plain = letters + list({w for w in stems if w.isalpha()}.difference(letters))
-        runs = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint16)
-            at = (np.flatnonzero(self.ends[ids]) * 2 + 2).tolist()
-            if len(at) == len(run):
-                raw = ids.tobytes()
-                found.update(zip(run, map(raw.__getitem__, map(slice, [0, *at], at))))
-            else:  # a letter that the vocabulary's rules take apart
-                other += run
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            found[w] = np.array(e.ids, np.uint16).tobytes()
-        return found
+    def _cut(words: pa.Array) -> list[pa.Array]:
+        """Each word's piece up to a last letter, and the signs that follow; the whole word and nothing where there is no such place."""
+        stems = pc.ascii_rtrim(words, characters=".,!?;:|$%*#&")
+        cut = pc.and_not(pc.match_substring_regex(stems, f"[{LETTERS}]$"), pc.match_substring(words, "<|"))
+        stems = pc.if_else(cut, stems, words)
+        size, begin = pc.binary_length(stems).to_numpy(), np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1]
+        signs = np.diff(begin) - size
+        data = gathered(np.frombuffer(words.buffers()[2] or b"", np.uint8), begin[:-1] + size, signs)
+        bounds = np.append(0, np.cumsum(signs)).astype(np.int32)
+        return [stems, pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(data)])]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Of distinct pieces in the new generation, which learns those that it hasn't."""
+        if len(self.new.names) > CACHE:
+            self.new, self.old = Pieces(), self.new
+        at = self.new.find(pieces)
+        rest = np.flatnonzero(at < 0)
+        asked = pieces.take(pa.array(rest))
+        old = self.old.find(asked)
+        plain = pc.match_substring_regex(asked, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        kept, letters, other = (np.flatnonzero(x) for x in (old >= 0, (old < 0) & plain, (old < 0) & ~plain))
+        at[rest[np.concatenate([kept, letters, other])]] = len(self.new.names) + np.arange(len(rest))
+        size, start = self.old.size[old[kept]], self.old.start[old[kept]]
+        self.new.add(asked.take(pa.array(kept)), size, gathered(self.old.flat, start, size))
+        letters, other = asked.take(pa.array(letters)), asked.take(pa.array(other))
+        self.new.add(pa.concat_arrays([letters, other]), *self._learnt(letters, other))
+        return at
+
+    def _learnt(self, letters: pa.Array, other: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids. Words of letters are one piece each, so many are encoded together and told apart by their last ids."""
+        words = letters.to_numpy(zero_copy_only=False).tolist()
+        runs = self.letters.encode_batch_fast([" ".join(words[i : i + 512]) for i in range(0, len(words), 512)], add_special_tokens=False)
+        flat = np.concatenate([np.empty(0, np.uint16), *(np.array(e.ids, np.uint16) for e in runs)])
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        ids = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+        return np.append(size, [len(x) for x in ids]).astype(np.int32), np.concatenate([flat, *ids])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,7 +211,7 @@ def statistics(encoded: DataFrame) -> tuple[int, float, np.ndarray]:
 
 
 class Index:
-    """An inverted index of items with the BM25 impact of each posting."""
+    """An inverted index of items with the BM25 impact of each posting; postings of words that many items have are rows of a table."""
 
     def __init__(self, items: list[np.ndarray], n: int, mean: float, df: np.ndarray):
         item, term, tf = counted(items)
@@ -190,15 +222,24 @@ class Index:
         self.terms = [term[a:b] for a, b in zip(edges, edges[1:])]
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self.docs, self.impacts = item[order], impacts[order]
-        self.start = np.append(0, np.cumsum(np.bincount(term, minlength=VOCABULARY)))
+        sizes = np.bincount(term, minlength=VOCABULARY)
+        self.start = np.append(0, np.cumsum(sizes))
+        often = np.flatnonzero(sizes * DENSE > len(items))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(items)), np.float32)
+        shared = np.flatnonzero(self.row[term] >= 0)
+        self.dense[self.row[term[shared]], item[shared]] = impacts[shared]
         self.n = len(items)
 
     def scores(self, i: int) -> np.ndarray:
         """Of all items, for item i as the query."""
-        first, size = self.start[self.terms[i]], self.start[self.terms[i] + 1] - self.start[self.terms[i]]
-        ends = np.cumsum(size)
-        at = np.repeat(first - ends + size, size) + np.arange(int(ends[-1]))
-        return np.bincount(self.docs[at], self.impacts[at], self.n)
+        row = self.row[self.terms[i]]
+        rare = self.terms[i][row < 0]
+        first, size = self.start[rare], self.start[rare + 1] - self.start[rare]
+        at = np.repeat(first - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return np.bincount(self.docs[at], self.impacts[at], self.n) + np.add.reduce(self.dense[row[row >= 0]], axis=0)
 
 
 def windows(lengths: list[int], items: list[np.ndarray], n: int, mean: float, df: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:

@@ -1,7 +1,11 @@
 """Operators 7 to 10 against brute force."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -564,3 +568,50 @@ def test_words_of_both_generations_have_the_same_ids(monkeypatch):
         texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(25))) for _ in range(5)] + [None]
         got = encoder(pa.array(texts, pa.string()))
         assert [np.frombuffer(x, np.uint16).tolist() for x in got.to_pylist()] == [[*plain.encode(x or "", add_special_tokens=False).ids, packing.END] for x in texts]
+
+
+def test_letters_are_one_piece_each():
+    """Each letter that skips the vocabulary's rules, alone, in a word, as a capital's neighbour and before signs, has the library's ids."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    letters = [chr(i) for i in range(0xD800) if re.fullmatch(f"[{packing.LETTERS}]", chr(i))]
+    assert len(letters) > 30_000 and "İ" not in letters and "e\u0301"[1] not in letters
+    texts = [" ".join(f"{c} x{c}{c} {c}A {c}.! q{c}?" for c in letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    texts += ["".join(letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    got = encoder(pa.array(texts, pa.string())).to_pylist()
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [[*plain.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+
+
+def test_encoding_starts_no_threads():
+    """A task has one core; threads of the library only cost CPU time there."""
+    code = """
+import os, sys
+import pyarrow as pa
+from plumbline.llm import packing
+encoder = packing.Encoder(sys.argv[1])
+before = len(os.listdir("/proc/self/task"))
+encoder(pa.array([" ".join(f"{a}{b}{c}" for c in "abcdefghijklmnopqrst") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")} | {"PYTHONPATH": str(Path(packing.__file__).parents[2])}
+    done = subprocess.run([sys.executable, "-c", code, tokenizer("word_bpe_49k.json")], env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["0"], done.stderr
+
+
+def test_scores_of_frequent_and_rare_words():
+    """Words of many items are read from a table, whose cells the postings bound; the others from their postings; the sums are the same."""
+    rng = np.random.default_rng(8)
+    items = [np.concatenate([rng.integers(0, 20, 40), rng.integers(20, 3000, 10)]).astype(np.uint16) for _ in range(200)] + [np.empty(0, np.uint16)]
+    df = np.bincount(packing.counted(items)[1], minlength=packing.VOCABULARY)
+    index = packing.Index(items, len(items), 50.0, df)
+    assert 20 <= len(index.dense) < 40 and index.dense.size < packing.DENSE * len(index.docs)
+    item, term, tf = packing.counted(items)
+    size = np.array([len(x) for x in items])[item]
+    table = np.zeros((len(items), packing.VOCABULARY))
+    table[item, term] = np.log1p((len(items) - df[term] + 0.5) / (df[term] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 50))
+    for i in (0, 7, 199, 200):
+        assert index.scores(i) == pytest.approx(table[:, np.unique(items[i])].sum(axis=1), rel=1e-5)
