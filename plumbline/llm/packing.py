@@ -46,7 +46,7 @@ DENSE = 8
 #: Of the idf in a projection; of the projection's signs.
 POWER, SEED = 1.5, 20240616
 #: Distinct pieces of a generation.
-CACHE = 400_000
+CACHE = 800_000
 #: Letters that normalising leaves alone but for capitals: Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁҊ-ԯ\u05d0-\u05ea\u0621-\u063a\u0641-\u064aぁ-ゖァ-ヺ一-龥가-힣"
 #: Ids of the vocabulary, at most; they fit 16 bits.
@@ -170,7 +170,7 @@ def encoder_of(tokenizer: str) -> Encoder:
     return _encoders[tokenizer]
 
 
-def slices(column: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
+def slices(column: pa.Array, most: int = 1 << 24) -> Iterator[pa.Array]:
     """The column in runs of about ``most`` bytes, a value never cut."""
     size = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
     begin = 0
