@@ -46,30 +46,50 @@ def contained_in(children: DataFrame, parents: DataFrame, keys: Sequence[str], c
     return joined.where((F.col(child[0]) >= F.col(parent[0])) & (F.col(child[1]) <= F.col(parent[1])))
 
 
+def _in_blocks(df: DataFrame, size: int, rows: int) -> DataFrame:
+    """Rows (_k, _g, _v) in blocks of near values of a group: _g, _b, _least, _most and _rows by value; _b rises with group and value.
+
+    Equal values stand in order of their keys, so a lost partition comes back in the same blocks.
+    """
+    order = ["_g", "_v", "_k"]
+    placed = df.repartitionByRange(1 + rows // 250_000, *order).sortWithinPartitions(*order).withColumn("_b", F.expr(f"monotonically_increasing_id() div {size}"))
+    return placed.groupBy("_g", "_b").agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.sort_array(F.collect_list(F.struct("_v", "_k"))).alias("_rows"))
+
+
 def pairs_above(high: DataFrame, low: DataFrame, high_cols: tuple[str, str, str], low_cols: tuple[str, str, str], block: int = 256, tasks: int | None = None, small: int = 64 << 20) -> DataFrame:
     """(key of low, key of high) of each pair with the same group where high's value is above low's; columns are (key, group, value).
 
-    Rows of ``low`` stand in blocks of near values. A row of ``high`` takes whole blocks that end below its value and looks into those that
-    its value falls in, so what is compared in vain is a block a row, or the rows of one value. The pairs are as many as they are; ``high``
-    is dealt evenly over tasks by their upper bound, whatever its files or groups. Blocks are copied to all tasks up to ``small`` bytes
-    of ``low``, as the optimizer estimates; beyond, both sides are hashed by group and a salt.
+    Rows of both sides stand in blocks of near values, and blocks meet. A row of ``high`` takes whole blocks that end below its value and the
+    beginning of those that its value falls in, so what is compared in vain is a block or two a row. The pairs are as many as they are; ``high``'s
+    blocks are dealt evenly over tasks by the pairs' upper bound, whatever its files or groups, neighbours to one task. All rows of a block take
+    the same block of ``low`` one after the other, so a key of ``high`` is repeated and the keys of ``low`` come again and again in one order:
+    files of the pairs hold a small part of a byte a row, where each row of ``high`` would otherwise list all of its group. ``low``'s blocks are
+    copied to all tasks up to ``small`` bytes of ``low``, as the optimizer estimates; beyond, tasks stand in a square and both sides are copied
+    along one edge, so what is shuffled grows with the root of the tasks.
     """
-    above = high.select(F.col(high_cols[0]).alias("_hk"), F.col(high_cols[1]).alias("_g"), F.col(high_cols[2]).alias("_h")).where("_g is not null and _h is not null")
-    below = low.select(F.col(low_cols[0]).alias("_lk"), F.col(low_cols[1]).alias("_g"), F.col(low_cols[2]).alias("_l")).where("_g is not null and _l is not null")
+    side = lambda df, cols: df.select(*[F.col(c).alias(name) for c, name in zip(cols, ("_k", "_g", "_v"))]).where("_g is not null and _v is not null")
+    above, below = side(high, high_cols), side(low, low_cols)
+    n, m = above.count(), below.count()
     if tasks is None:
-        tasks = max(1, min(4096, above.count() * below.count() // 500_000_000))
-    place = F.floor((F.row_number().over(Window.partitionBy("_g").orderBy("_l")) - 1) / block)
-    blocks = below.withColumn("_b", place).groupBy("_g", "_b").agg(F.min("_l").alias("_least"), F.max("_l").alias("_most"), F.collect_list(F.struct("_lk", "_l")).alias("_rows")).drop("_b")
-    keys, on = F.transform("_rows", lambda r: r["_lk"]).alias("_keys"), ["_g"]
-    above = above.repartition(tasks)
+        tasks = max(1, min(4096, n * m // 500_000_000))
+    each = lambda name: F.transform("_rows", lambda r: r[name])
+    lows = _in_blocks(below, block, m).select("_g", "_b", "_least", F.col("_most").alias("_end"), each("_k").alias("_keys"), each("_v").alias("_values"))
+    highs = _in_blocks(above, block, n).select("_g", "_b", "_most", "_rows")
     if estimated_bytes(below) <= small:
-        put = F.broadcast
+        met = highs.repartitionByRange(tasks, "_b").join(F.broadcast(lows.drop("_b")), "_g")
     else:
-        above = above.withColumn("_salt", F.pmod(F.xxhash64("_hk", "_h"), F.lit(tasks)).cast("int"))
-        blocks, on, put = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), ["_g", "_salt"], lambda df: df
-    whole = above.join(put(blocks.select(*on, "_most", keys)), on).where("_h > _most").select("_hk", F.explode("_keys").alias("_lk"))
-    part = above.join(put(blocks), on).where("_h > _least and not _h > _most").select("_hk", "_h", F.inline("_rows").alias("_lk", "_l")).where("_h > _l")
-    return whole.select("_lk", "_hk").unionAll(part.select("_lk", "_hk")).toDF(low_cols[0], high_cols[0])
+        across = max(1, min(tasks, round((tasks * n / max(1, m)) ** 0.5)))
+        down = -(-tasks // across)
+        part = lambda count: F.pmod(F.xxhash64("_b"), F.lit(count)).cast("int")
+        all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        on = ["_g", "_across", "_down"]
+        highs = highs.withColumn("_across", part(across)).withColumn("_down", all_of(down)).repartition(tasks, *on)
+        met = highs.join(lows.withColumn("_down", part(down)).drop("_b").withColumn("_across", all_of(across)).repartition(tasks, *on).hint("merge"), on)
+    # Functions of arrays keep these steps out of generated code, which would hold all pairs of two blocks at once.
+    rows = met.where("_most > _least").select("_end", "_keys", "_values", F.explode(F.filter("_rows", lambda r: r["_v"] > F.col("_least"))).alias("_r"))
+    value = F.col("_r._v")
+    counted = rows.select("_keys", F.col("_r._k").alias("_hk"), F.when(value > F.col("_end"), F.size("_keys")).otherwise(F.size(F.filter("_values", lambda v: v < value))).alias("_n"))
+    return counted.select(F.explode(F.slice("_keys", F.lit(1), F.col("_n"))).alias(low_cols[0]), F.col("_hk").alias(high_cols[0]))
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], by: str, ties: Sequence[str]) -> DataFrame:

@@ -104,3 +104,24 @@ def test_pairs_above_deal_rows_of_one_file_over_tasks(spark):
     high, low = spark.range(0, 60_000, 1, 1).selectExpr("id h", "id % 2 hg", "double(id) hv"), spark.range(0, 60_000, 1, 1).selectExpr("id l", "id % 2 lg", "double(id) lv")
     got = analysis.pairs_above(high, low, ("h", "hg", "hv"), ("l", "lg", "lv"))
     assert got.rdd.getNumPartitions() >= 7
+
+
+def test_pairs_above_as_files_repeat_themselves(spark, tmp_path):
+    """Files of the pairs don't hold the keys of low anew for each row of high: a small part of a byte a pair, however the sides are joined."""
+    rng = random.Random(5)
+    rows = lambda n, first: [(first + i, rng.randrange(5), rng.random()) for i in range(n)]
+    high, low = spark.createDataFrame(rows(8000, 10**9), "h long, hg int, hv double"), spark.createDataFrame(rows(8000, 0), "l long, lg int, lv double")
+    want = low.join(high, (F.col("lg") == F.col("hg")) & (F.col("hv") > F.col("lv"))).agg(F.count("*"), F.sum("l"), F.sum("h"), F.sum(F.col("l") * (F.col("h") % 1009))).first()
+    for i, small in enumerate((1 << 30, -1)):
+        analysis.pairs_above(high, low, ("h", "hg", "hv"), ("l", "lg", "lv"), tasks=3, small=small).write.parquet(f"{tmp_path}/{i}")
+        assert spark.read.parquet(f"{tmp_path}/{i}").agg(F.count("*"), F.sum("l"), F.sum("h"), F.sum(F.col("l") * (F.col("h") % 1009))).first() == want
+        assert sum(f.stat().st_size for f in (tmp_path / str(i)).glob("*.parquet")) < 0.3 * want[0]
+
+
+def test_pairs_above_of_one_value_are_dealt_over_tasks(spark):
+    """All of high have the same group and value: their blocks still go to several tasks."""
+    high, low = spark.range(0, 4000, 1, 1).selectExpr("id h", "id div 5000 hg", "9d + id div 5000 hv"), spark.range(0, 900, 1, 1).selectExpr("id l", "id div 5000 lg", "double(id % 20) lv")
+    for small in (1 << 30, -1):
+        got = analysis.pairs_above(high, low, ("h", "hg", "hv"), ("l", "lg", "lv"), block=64, tasks=6, small=small)
+        by_task = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert sum(by_task) == 4000 * 45 * 9 and len(by_task) >= 3 and max(by_task) < 0.7 * sum(by_task)
